@@ -1,14 +1,12 @@
 """Date parsing and the four-way classification of date texts.
 
-Each value is matched against a shape once and parsed with one cast. Numeric layouts are
-rewritten to ISO order first: a cast of ISO text returns null for a bad value, where a
-pattern-based parser throws and catches an exception per row.
+Numeric layouts are rewritten to ISO order and cast: a cast returns null for a bad value, where a
+pattern-based parser throws and catches an exception per row. The rewrite is one chain without
+branches, so the text is never evaluated twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,46 +16,45 @@ from gridtally.spec import FAILED, MISSING, PARSED, TIME_ONLY, DatePolicy
 TIME_ONLY_SHAPE = r"^\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
 _VALID_TIME = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$"
 
-_TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?"
-_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"
-_YEAR_FIRST = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_TIME}$"
-_YEAR_LAST = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_TIME}$"
-_SHORT_YEAR = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{2}}){_TIME}$"
+_TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}"
+_YEAR_FIRST = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_TIME}"
+_YEAR_LAST = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_TIME}"
+# Two-digit years 69..99 belong to the last century.
+_SHORT_YEARS = {"20": r"([0-5]\d|6[0-8])", "19": r"(69|[7-9]\d)"}
 _HALF_DAY = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$"
-_NAMED_MONTH = r"^\d{1,2}[- ][A-Za-z]{3,9}[- ]\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$"
-_NAMED_FORMATS = (
-    "d-MMM-yyyy[ H:mm[:ss]]",
-    "d MMM yyyy[ H:mm[:ss]]",
-    "d-MMMM-yyyy[ H:mm[:ss]]",
-    "d MMMM yyyy[ H:mm[:ss]]",
-)
+_NAMED_MONTH = r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]{0,6}[- ](\d{4})( \d{1,2}:\d{2}(?::\d{2})?)?$"
 _WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
-def _iso(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+def _iso_text(text: Column, day_first: bool) -> Column:
+    """Text of a numeric date in ISO order; empty when the text is no such date."""
+    day_month = "$2-$1" if day_first else "$1-$2"
+    text = F.regexp_replace(text, _YEAR_LAST, f"$3-{day_month}$4")
+    text = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")
+    for century, years in _SHORT_YEARS.items():
+        text = F.regexp_replace(text, rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{years}{_TIME}", f"{century}$3-{day_month}$4")
+    return F.regexp_extract(text, _ISO, 0)
 
 
-def _by_format(text: Column, formats: Sequence[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+def _by_format(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
 def parse_timestamp(text: Column, policy: DatePolicy) -> Column:
-    """Zone-less timestamp of a trimmed text, or null."""
-    year_last = "$3-$2-$1$4" if policy.day_first else "$3-$1-$2$4"
+    """Zone-less timestamp of a trimmed text, or null. The range of the policy is not applied."""
     half_day = "d/M/yyyy h:mm[:ss] a" if policy.day_first else "M/d/yyyy h:mm[:ss] a"
-    # Two-digit years 69..99 belong to the last century.
-    century = F.when(F.regexp_extract(text, _SHORT_YEAR, 3) < F.lit("69"), F.lit("20")).otherwise(F.lit("19"))
-    parsed = (
-        F.when(text.rlike(_ISO), _iso(text))
-        .when(text.rlike(_YEAR_LAST), _iso(F.regexp_replace(text, _YEAR_LAST, year_last)))
-        .when(text.rlike(_YEAR_FIRST), _iso(F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")))
-        .when(text.rlike(_SHORT_YEAR), _iso(F.concat(century, F.regexp_replace(text, _SHORT_YEAR, year_last))))
-        .when(text.rlike(_HALF_DAY), _by_format(text, [half_day]))
-        .when(text.rlike(_NAMED_MONTH), _by_format(text, _NAMED_FORMATS))
+    named = F.regexp_replace(text, _NAMED_MONTH, "$1-$2-$3$4")
+    return F.coalesce(
+        _iso_text(text, policy.day_first).try_cast("timestamp_ntz"),
+        F.when(text.rlike(_HALF_DAY), _by_format(text, half_day)),
+        F.when(text.rlike(_NAMED_MONTH), _by_format(named, "d-MMM-yyyy[ H:mm[:ss]]")),
+        *[_by_format(text, pattern) for pattern in policy.extra_formats],
     )
-    if policy.extra_formats:
-        parsed = F.coalesce(parsed, _by_format(text, policy.extra_formats))
+
+
+def in_range(parsed: Column, policy: DatePolicy) -> Column:
+    """Null for placeholder dates such as 9999-12-31, so that they do not become the latest."""
     first = F.lit(policy.min_date).cast("timestamp_ntz")
     last = F.lit(f"{policy.max_date} 23:59:59.999999").cast("timestamp_ntz")
     return F.when(parsed.between(first, last), parsed)

@@ -36,9 +36,8 @@ def _date_text(df: DataFrame, policy: DatePolicy) -> Column:
 
 
 def _calendar(policy: DatePolicy) -> dict[str, Column]:
-    day = F.to_date(policy.parsed)
+    day = F.col(policy.date)
     return {
-        policy.date: day,
         policy.month: dates.month_text(day),
         policy.week: F.weekofyear(day),
         policy.day_of_week: dates.day_name(day),
@@ -62,38 +61,50 @@ def _file_signatures(df: DataFrame, policy: DatePolicy) -> DataFrame:
 def parse_dates(df: DataFrame, policy: DatePolicy) -> DataFrame:
     """Add the parsed column. With per_file, a file keeps only the layout of its first value."""
     value = _date_text(df, policy)
+    found = F.col(policy.parsed)
     if not policy.per_file:
-        return df.withColumn(policy.parsed, dates.parse_timestamp(value, policy))
+        parsed = df.withColumn(policy.parsed, dates.parse_timestamp(value, policy))
+        return parsed.withColumn(policy.parsed, dates.in_range(found, policy))
     # One row per file: Spark sizes this side itself, no broadcast is forced.
     joined = df.join(_file_signatures(df, policy), SOURCE_FILE, "left")
     same = F.coalesce(~F.col("_file_known"), F.lit(False)) | (
         dates.date_signature(value) == F.col("_file_signature")
     )
     parsed = F.when(same, dates.parse_timestamp(value, policy))
-    return joined.withColumn(policy.parsed, parsed).drop("_file_signature", "_file_known")
+    joined = joined.withColumn(policy.parsed, parsed).drop("_file_signature", "_file_known")
+    return joined.withColumn(policy.parsed, dates.in_range(found, policy))
 
 
 def enrich_full(df: DataFrame, policy: DatePolicy) -> DataFrame:
     """Raw text, parsed timestamp, success flag and calendar columns."""
     parsed = parse_dates(df.withColumn(policy.raw, _date_text(df, policy)), policy)
-    return parsed.withColumn(policy.success, F.col(policy.parsed).isNotNull()).withColumns(_calendar(policy))
+    parsed = parsed.withColumns(
+        {policy.success: F.col(policy.parsed).isNotNull(), policy.date: F.to_date(policy.parsed)}
+    )
+    return parsed.withColumns(_calendar(policy))
 
 
 def enrich_classified(df: DataFrame, policy: DatePolicy) -> DataFrame:
     """Four-way status, time-only columns, calendar columns and the analysis hour.
 
-    A date without a time counts as midnight, so hour 0 also holds date-only rows.
+    Expects trimmed text. A date without a time counts as midnight, so hour 0 also holds
+    date-only rows.
     """
     parsed = parse_dates(df.withColumn(policy.raw, _date_text(df, policy)), policy)
-    value = text.strip(F.coalesce(F.col(policy.raw), F.lit("")))
-    status = dates.parse_status(value, F.col(policy.parsed))
+    value = F.col(policy.raw)
+    time_only = dates.is_time_only(value)
     return (
-        parsed.withColumn(policy.status, status)
-        .withColumn(policy.is_time_only, F.col(policy.status) == TIME_ONLY)
-        .withColumn(policy.time_only_text, F.when(F.col(policy.is_time_only), value))
-        .withColumn(policy.time_hour, dates.time_only_hour(F.col(policy.time_only_text)))
+        parsed.withColumns(
+            {
+                policy.status: dates.parse_status(value, F.col(policy.parsed)),
+                policy.is_time_only: time_only,
+                policy.time_only_text: F.when(time_only, value),
+                policy.time_hour: dates.time_only_hour(value),
+                policy.date: F.to_date(policy.parsed),
+                policy.hour: F.hour(policy.parsed),
+            }
+        )
         .withColumns(_calendar(policy))
-        .withColumn(policy.hour, F.hour(policy.parsed))
         .withColumn(policy.analysis_hour, F.coalesce(policy.hour, policy.time_hour))
     )
 

@@ -248,7 +248,7 @@ def _suite_sql() -> str:
             "total_rows": "count(*)",
             "parse_coverage_pct": f"round_even({_percent('count(issuedate_parsed)', 'count(*)')}, 2)",
             "future_row_count": "count(CASE WHEN issuedate_parsed > TIMESTAMP '2024-01-20 12:00:00' THEN 1 END)",
-            "stale_days": "90",
+            "stale_days": "max(90)",
         },
     )
     parts += rows("duplicates_by_source", "source_file", "typed", {"duplicate_rows": "2 * count(*)"}, "WHERE event_id % 10 = 0 GROUP BY source_file")
@@ -264,7 +264,7 @@ def _suite_sql() -> str:
         "categorical_summary",
         "'categorycode'",
         "twice",
-        {"allowed_count": "2", "invalid_count": "count(CASE WHEN categorycode NOT IN ('click', 'view') THEN 1 END)"},
+        {"allowed_count": "max(2)", "invalid_count": "count(CASE WHEN categorycode NOT IN ('click', 'view') THEN 1 END)"},
     )
     return _with(_SUITE, _ranked("transactionamount", "twice"), _QUARTILES) + "\nUNION ALL\n".join(parts)
 

@@ -373,8 +373,8 @@ _CELLS = ("servicepointno", "meterno", "categorycode", "transactionamount", "iss
 
 
 def _write_extract(rows: DataFrame, uri: str, headers: dict[str, str] | None = None, mode: str = "overwrite") -> None:
-    """Raw rows as CSV files with untidy header names."""
-    names = headers or {"servicepointno": "ServicePointNo ", "meterno": "meterno", "transactionamount": "TransactionAmount"}
+    """Raw rows as CSV files, with other header names where given."""
+    names = headers or {}
     cells = rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
     writer = cells.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False)
     writer.option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(uri)
@@ -412,8 +412,8 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
     folder = _extract_folder(spark)
     rows = raw_payments(spark, sf)
     spec = replace(_EXTRACT, required_columns=(*_EXTRACT.required_columns[:4], "issuedate"))
-    _write_extract(rows.where(F.col("event_id") % 2 == 0).select(*_CELLS), f"{folder}/raw", {})
-    _write_extract(rows.where(F.col("event_id") % 2 == 1).select("issuedate", "meterno", "event_id"), f"{folder}/raw", {}, "append")
+    _write_extract(rows.where(F.col("event_id") % 2 == 0).select(*_CELLS), f"{folder}/raw")
+    _write_extract(rows.where(F.col("event_id") % 2 == 1).select("issuedate", "meterno", "event_id"), f"{folder}/raw", mode="append")
     files = discover(spark, f"{folder}/raw", [spec])[spec.name]
     done = persist_dataset(spark, spec, files, f"{folder}/table")
     inventory = inventory_of(spark, {spec.name: done})
@@ -427,7 +427,7 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     folder = _extract_folder(spark)
     rows = raw_payments(spark, sf)
     for rest, mode in ((0, "overwrite"), (1, "append")):
-        _write_extract(rows.where(F.col("event_id") % 2 == rest).select(*_CELLS), f"{folder}/raw", {}, mode)
+        _write_extract(rows.where(F.col("event_id") % 2 == rest).select(*_CELLS), f"{folder}/raw", mode=mode)
         ingest_new_files(spark, _EXTRACT, f"{folder}/raw", f"{folder}/out", f"{folder}/checkpoint")
     table = read_table(spark, f"{folder}/out")
     return table.groupBy("issuedate_parse_status").agg(
