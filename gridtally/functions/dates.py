@@ -17,24 +17,33 @@ TIME_ONLY_SHAPE = r"^\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
 _VALID_TIME = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$"
 
 _TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
-_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}"
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
 _YEAR_FIRST = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_TIME}"
 _YEAR_LAST = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_TIME}"
 # Two-digit years 69..99 belong to the last century.
 _SHORT_YEARS = {"20": r"([0-5]\d|6[0-8])", "19": r"(69|[7-9]\d)"}
-_HALF_DAY = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$"
-_NAMED_MONTH = r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]{0,6}[- ](\d{4})( \d{1,2}:\d{2}(?::\d{2})?)?$"
 _WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
-def _iso_text(text: Column, day_first: bool) -> Column:
+def _years(first: int, last: int) -> str:
+    """Pattern of the four-digit years first..last, whole centuries and decades folded."""
+    parts, year = [], first
+    while year <= last:
+        width = next(w for w in (100, 10, 1) if year % w == 0 and year + w - 1 <= last)
+        digits = len(str(width)) - 1
+        parts.append(f"{year:04d}"[: 4 - digits] + r"\d" * digits)
+        year += width
+    return f"(?:{'|'.join(parts)})"
+
+
+def _iso_text(text: Column, policy: DatePolicy) -> Column:
     """Text of a numeric date in ISO order; empty when the text is no such date."""
-    day_month = "$2-$1" if day_first else "$1-$2"
+    day_month = "$2-$1" if policy.day_first else "$1-$2"
     text = F.regexp_replace(text, _YEAR_LAST, f"$3-{day_month}$4")
     text = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")
     for century, years in _SHORT_YEARS.items():
         text = F.regexp_replace(text, rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{years}{_TIME}", f"{century}$3-{day_month}$4")
-    return F.regexp_extract(text, _ISO, 0)
+    return F.regexp_extract(text, rf"^{_years(policy.min_year, policy.max_year)}-\d{{1,2}}-\d{{1,2}}{_TIME}", 0)
 
 
 def _by_format(text: Column, pattern: str) -> Column:
@@ -42,22 +51,21 @@ def _by_format(text: Column, pattern: str) -> Column:
 
 
 def parse_timestamp(text: Column, policy: DatePolicy) -> Column:
-    """Zone-less timestamp of a trimmed text, or null. The range of the policy is not applied."""
-    half_day = "d/M/yyyy h:mm[:ss] a" if policy.day_first else "M/d/yyyy h:mm[:ss] a"
-    named = F.regexp_replace(text, _NAMED_MONTH, "$1-$2-$3$4")
+    """Zone-less timestamp of a trimmed text, or null; also null outside the years of the policy."""
+    years = _years(policy.min_year, policy.max_year)
+    half_day = rf"^\d{{1,2}}/\d{{1,2}}/{years} {_CLOCK} [AaPp][Mm]$"
+    named = rf"^(\d{{1,2}})[- ]([A-Za-z]{{3}})[a-z]{{0,6}}[- ]({years})( {_CLOCK})?$"
+    day_month = "d/M" if policy.day_first else "M/d"
     return F.coalesce(
-        _iso_text(text, policy.day_first).try_cast("timestamp_ntz"),
-        F.when(text.rlike(_HALF_DAY), _by_format(text, half_day)),
-        F.when(text.rlike(_NAMED_MONTH), _by_format(named, "d-MMM-yyyy[ H:mm[:ss]]")),
-        *[_by_format(text, pattern) for pattern in policy.extra_formats],
+        _iso_text(text, policy).try_cast("timestamp_ntz"),
+        F.when(text.rlike(half_day), _by_format(text, f"{day_month}/yyyy h:mm[:ss] a")),
+        F.when(text.rlike(named), _by_format(F.regexp_replace(text, named, "$1-$2-$3$4"), "d-MMM-yyyy[ H:mm[:ss]]")),
+        *[_in_years(_by_format(text, pattern), policy) for pattern in policy.extra_formats],
     )
 
 
-def in_range(parsed: Column, policy: DatePolicy) -> Column:
-    """Null for placeholder dates such as 9999-12-31, so that they do not become the latest."""
-    first = F.lit(policy.min_date).cast("timestamp_ntz")
-    last = F.lit(f"{policy.max_date} 23:59:59.999999").cast("timestamp_ntz")
-    return F.when(parsed.between(first, last), parsed)
+def _in_years(parsed: Column, policy: DatePolicy) -> Column:
+    return F.when(F.year(parsed).between(policy.min_year, policy.max_year), parsed)
 
 
 def date_signature(text: Column) -> Column:

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def to_number(text: Column) -> Column:
-    """Double value of a text, or null.
+# Plain decimal and exponent forms, or an infinity. try_cast alone would also read Java's own forms
+# ('1.5d', '0x1p3') and 'nan'.
+_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))$"
 
-    try_cast also reads Java forms ('1.5d', '0x1p3') and yields NaN for 'nan'; those are
-    refused here. 'inf' stays infinite.
-    """
-    lowered = F.lower(text)
-    java_suffix = F.right(lowered, F.lit(1)).isin("d", "f") & ~F.right(lowered, F.lit(3)).eqNullSafe("inf")
-    value = F.when(~(java_suffix | F.contains(lowered, F.lit("x"))), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+
+def to_number(text: Column) -> Column:
+    """Double value of a trimmed text, or null. The text is evaluated once."""
+    return F.regexp_extract(text, _NUMBER, 0).try_cast("double")
 
 
 def as_number(value: Column, kind: T.DataType) -> Column:

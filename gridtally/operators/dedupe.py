@@ -38,8 +38,8 @@ def _row_hash(keys: Sequence[str]) -> Column:
 def _suspects(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Hashes that occur more than once as a local table, or None when there are too many."""
     repeated = df.select(_row_hash(keys).alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
-    hashes = repeated.where(F.col("n") > 1).select(_HASH).limit(limit + 1).toPandas()
-    if len(hashes) > limit:
+    hashes = repeated.where(F.col("n") > 1).select(_HASH).limit(limit + 1).toArrow()
+    if hashes.num_rows > limit:
         return None
     schema = T.StructType([T.StructField(_HASH, T.LongType())])
     return df.sparkSession.createDataFrame(hashes, schema)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,36 @@ from gridtally.operators.transforms import data_columns, union_by_name
 from gridtally.spec import PARSED, DatasetSpec
 
 
+CHECKS = (
+    "schema_report",
+    "missing_summary",
+    "parse_summary",
+    "numeric_flags",
+    "outlier_summary",
+    "temporal_summary",
+    "duplicates_by_source",
+    "duplicates_by_date",
+    "duplicate_rows",
+    "categorical_summary",
+    "column_profile",
+    "warnings",
+    "file_diagnostics",
+)
+# Checks with numbers, and the column that names their rows.
+NUMERIC_CHECKS = {
+    "missing_summary": "column",
+    "parse_summary": "status",
+    "numeric_flags": "column",
+    "outlier_summary": "column",
+    "temporal_summary": "date_column",
+    "duplicates_by_source": "label",
+    "duplicates_by_date": "label",
+    "duplicate_rows": "dataset",
+    "categorical_summary": "column",
+}
+SNAPSHOT_CHECKS = ("schema_report", "parse_summary", "duplicate_rows")
+
+
 @dataclass
 class QualityReport:
     """One table per check."""
@@ -36,46 +68,76 @@ def run_checks(
     order_by: list[str] | None = None,
     approximate: bool = False,
     exact_limit: int = GROUP_LIMIT,
+    only: Collection[str] = CHECKS,
 ) -> QualityReport:
-    """Run the suite. `df` should be a stored table: checks that shuffle scan it again, pruned.
+    """Run the suite, or some of its checks. `df` should be a stored table: checks that shuffle
+    scan it again, pruned to their columns.
 
     Missing values, numeric flags, parse outcomes, temporal sanity and the counts behind the
     warnings are one aggregate. Its single row comes to the driver and the small tables are
     unfolded from it. Duplicate counts and diagnostics share one table of duplicate groups.
     """
+    builders = _builders(df, spec, as_of, inventory, order_by, approximate, exact_limit)
+    checks = {name: builders[name]() for name in CHECKS if name in only and name in builders}
+    named = {n: t.select(F.lit(spec.name).alias("dataset"), *t.drop("dataset").columns) for n, t in checks.items()}
+    return QualityReport(spec, named)
+
+
+def _builders(
+    df: DataFrame,
+    spec: DatasetSpec,
+    as_of: dt.datetime,
+    inventory: DataFrame | None,
+    order_by: list[str] | None,
+    approximate: bool,
+    exact_limit: int,
+) -> dict[str, Callable[[], DataFrame]]:
+    """One function per check; shared inputs are made once, when first wanted."""
     spark, limits = df.sparkSession, spec.thresholds
     numeric = [c for c in spec.numeric_columns if c in df.columns]
-    shared = df.agg(
-        F.count(F.lit(1)).alias(q.ROWS),
-        *q.missing_cells(df),
-        *q.flag_cells(df, numeric),
-        *q.parse_cells(df, spec),
-        *q.temporal_cells(df, spec, as_of, limits.max_future_days),
-    )
-    one_row = spark.createDataFrame(shared.collect(), shared.schema)
-    temporal = q.temporal_table(one_row, spec, as_of, limits.stale_days)
-    categories = q.categorical_check(df, spec.allow_lists, order_by)
-    invalid = categories.agg(F.coalesce(F.sum("invalid_count"), F.lit(0).cast("bigint")).alias("n")).scalar()
-    stale = F.col("latest_date") < F.lit(as_of - dt.timedelta(days=limits.stale_days)).cast("timestamp_ntz")
-    counted = one_row.withColumns({"invalid_total": invalid, "is_stale": F.coalesce(stale, F.lit(False))})
-    groups = duplicate_groups(df, spec.dedup_exclude)
-    checks = {
-        "schema_report": q.schema_report(spark, df.columns, spec),
-        "missing_summary": q.missing_table(one_row, data_columns(df)),
-        "parse_summary": q.parse_table(one_row, spec),
-        "numeric_flags": q.flag_table(one_row, numeric),
-        "outlier_summary": q.iqr_outliers(df, numeric, limits.outlier_iqr_multiplier, exact_limit, approximate),
-        "temporal_summary": temporal,
-        "duplicates_by_source": duplicates_by_source(groups),
-        "duplicates_by_date": duplicates_by_date(groups, spec),
-        "duplicate_rows": extra_copies(groups),
+
+    @cache
+    def one_row() -> DataFrame:
+        shared = df.agg(
+            F.count(F.lit(1)).alias(q.ROWS),
+            *q.missing_cells(df),
+            *q.flag_cells(df, numeric),
+            *q.parse_cells(df, spec),
+            *q.temporal_cells(df, spec, as_of, limits.max_future_days),
+        )
+        return spark.createDataFrame(shared.collect(), shared.schema)
+
+    @cache
+    def groups() -> DataFrame:
+        return duplicate_groups(df, spec.dedup_exclude)
+
+    @cache
+    def categories() -> DataFrame:
+        return q.categorical_check(df, spec.allow_lists, order_by)
+
+    def warnings() -> DataFrame:
+        invalid = categories().agg(F.coalesce(F.sum("invalid_count"), F.lit(0).cast("bigint")).alias("n")).scalar()
+        stale = F.col("latest_date") < F.lit(as_of - dt.timedelta(days=limits.stale_days)).cast("timestamp_ntz")
+        counted = one_row().withColumns({"invalid_total": invalid, "is_stale": F.coalesce(stale, F.lit(False))})
+        return q.warning_table(counted, [*q.status_warnings(spec, limits), *q.suite_warnings(limits)])
+
+    builders: dict[str, Callable[[], DataFrame]] = {
+        "schema_report": lambda: q.schema_report(spark, df.columns, spec),
+        "missing_summary": lambda: q.missing_table(one_row(), data_columns(df)),
+        "parse_summary": lambda: q.parse_table(one_row(), spec),
+        "numeric_flags": lambda: q.flag_table(one_row(), numeric),
+        "outlier_summary": lambda: q.iqr_outliers(df, numeric, limits.outlier_iqr_multiplier, exact_limit, approximate),
+        "temporal_summary": lambda: q.temporal_table(one_row(), spec, as_of, limits.stale_days),
+        "duplicates_by_source": lambda: duplicates_by_source(groups()),
+        "duplicates_by_date": lambda: duplicates_by_date(groups(), spec),
+        "duplicate_rows": lambda: extra_copies(groups()),
         "categorical_summary": categories,
-        "column_profile": column_profile(df, order_by=order_by, approximate=approximate),
-        "warnings": q.warning_table(counted, [*q.status_warnings(spec, limits), *q.suite_warnings(limits)]),
+        "column_profile": lambda: column_profile(df, order_by=order_by, approximate=approximate),
+        "warnings": warnings,
     }
     if inventory is not None:
-        checks["file_diagnostics"] = file_diagnostics(inventory, spec.name)
-    return QualityReport(spec, {n: t.select(F.lit(spec.name).alias("dataset"), *t.drop("dataset").columns) for n, t in checks.items()})
+        builders["file_diagnostics"] = lambda: file_diagnostics(inventory, spec.name)
+    return builders
 
 
 def snapshot(reports: list[QualityReport]) -> DataFrame:
@@ -100,19 +162,8 @@ def snapshot(reports: list[QualityReport]) -> DataFrame:
 
 def suite_rows(report: QualityReport) -> DataFrame:
     """The numeric results of a report in long form: (dataset, check, item, metric, value)."""
-    items = {
-        "missing_summary": "column",
-        "parse_summary": "status",
-        "numeric_flags": "column",
-        "outlier_summary": "column",
-        "temporal_summary": "date_column",
-        "duplicates_by_source": "label",
-        "duplicates_by_date": "label",
-        "duplicate_rows": "dataset",
-        "categorical_summary": "column",
-    }
     parts = []
-    for check, item in items.items():
+    for check, item in NUMERIC_CHECKS.items():
         table = report[check]
         numbers = [f.name for f in table.schema if f.dataType.simpleString() in ("bigint", "double")]
         wide = table.select("dataset", F.col(item).cast("string").alias("item"), *[F.col(c).cast("double").alias(c) for c in numbers])

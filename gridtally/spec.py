@@ -37,8 +37,10 @@ class DatePolicy:
     day_first: bool = False
     extra_formats: tuple[str, ...] = ()
     per_file: bool = False
-    min_date: str = "1677-09-22"
-    max_date: str = "2262-04-11"
+    # Years that fit whole into 64-bit nanoseconds. Dates outside, such as the placeholder
+    # 9999-12-31, are not dates.
+    min_year: int = 1678
+    max_year: int = 2261
 
     def __post_init__(self) -> None:
         if self.style not in ("full", "classified"):
