@@ -31,8 +31,12 @@ def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> Col
     """Distinct non-null values as a scalar expression; exact unless asked otherwise."""
     if column not in df.columns:
         return F.lit(0).cast("bigint")
-    count = F.approx_count_distinct(column) if approximate else F.count_distinct(F.col(column))
-    return df.select(column).agg(count.alias("n")).scalar()
+    if approximate:
+        return df.select(column).agg(F.approx_count_distinct(column).alias("n")).scalar()
+    # Distinct first, then count: Spark would merge several count-distinct subqueries into one
+    # aggregate and expand its rows after all.
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    return values.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def safe_aggregates(df: DataFrame, measure: str, key: str, scale: int | None = None) -> DataFrame:

@@ -67,11 +67,11 @@ class RawTable:
 
     def frame(self, spark: SparkSession) -> DataFrame | None:
         """Typed rows of all readable files, with the malformed flag; None without any file."""
-        frames = []
+        tables = []
         for columns, group in header_groups(self.headers).items():
             rows = read_group(spark, columns, [h.file.path for h in group], self.spec.multi_line)
-            frames.append(_typed(rows, self.spec))
-        return union_by_name(frames) if frames else None
+            tables.append(_typed(rows, self.spec))
+        return union_by_name(tables) if tables else None
 
     def without(self, names: Iterable[str], reason: str) -> RawTable:
         bad = set(names)

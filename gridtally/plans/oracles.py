@@ -409,10 +409,14 @@ UNION ALL
 SELECT 'Vend / Recharge', count(DISTINCT source_file), count(*),
        cast(min(vend_date) AS varchar) || ' to ' || cast(max(vend_date) AS varchar) FROM payments""",
     "quality_snapshot": _with(_RAW_READINGS, _TYPED)
-    + """SELECT 'consumption' AS dataset, false AS schema_valid, 'kwh_abs, kvah_abs, kvah_consumption' AS missing_columns,
-       count(CASE WHEN l_orderkey % 10 = 0 THEN 1 END) AS duplicate_rows,
-       cast(sum(CASE WHEN midnightdate_parsed IS NULL THEN CASE WHEN l_orderkey % 10 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS bigint) AS parse_warning_count
-FROM raw_readings
+    + """, twice_read AS (SELECT * FROM raw_readings UNION ALL SELECT * FROM raw_readings WHERE l_orderkey % 10 = 0),
+read_groups AS (
+  SELECT count(*) AS copies FROM twice_read
+  GROUP BY l_orderkey, l_linenumber, mtrid, midnightdate, kwh_consumption, source_file)
+SELECT 'consumption' AS dataset, false AS schema_valid, 'kwh_abs, kvah_abs, kvah_consumption' AS missing_columns,
+       (SELECT cast(sum(copies - 1) AS bigint) FROM read_groups) AS duplicate_rows,
+       count(*) - count(midnightdate_parsed) AS parse_warning_count
+FROM twice_read
 UNION ALL
 SELECT 'vend', true, 'None', count(CASE WHEN event_id % 10 = 0 THEN 1 END),
        cast(sum(CASE WHEN issuedate_parse_status <> 'parsed_datetime' THEN CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS bigint)

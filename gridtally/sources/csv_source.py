@@ -121,9 +121,12 @@ def read_group(
     ordinal = F.struct(
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
     )
+    # Spark refuses queries that use nothing but the raw record, such as a count of the good rows;
+    # the empty prefix of a cell makes the flag use one data column too.
+    record = F.concat(F.col(CORRUPT), F.left(F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), F.lit(0)))
     return rows.select(
         *[text.null_tokens(F.col(f"`{c}`")).alias(c) for c in columns if c not in (SOURCE_FILE, ROW_ORDINAL)],
         decoded_name().alias(SOURCE_FILE),
         ordinal.alias(ROW_ORDINAL),
-        _malformed(F.col(CORRUPT), len(columns)).alias(MALFORMED),
+        _malformed(record, len(columns)).alias(MALFORMED),
     )
