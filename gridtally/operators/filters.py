@@ -74,6 +74,15 @@ def _inside(column: str, bounds: tuple[object, object]) -> Column:
     return F.col(column).between(F.lit(bounds[0]), F.lit(bounds[1]))
 
 
+def _dates_inside(df: DataFrame, spec: DatasetSpec, bounds: tuple[dt.date, dt.date]) -> list[Column]:
+    """Date range, and the month range it implies: that one prunes a table partitioned by month."""
+    date = spec.date
+    found = [_inside(date.date, bounds)] if date.date in df.columns else []
+    if found and date.month in df.columns:
+        found.append(_inside(date.month, (f"{bounds[0]:%Y-%m}", f"{bounds[1]:%Y-%m}")))
+    return found
+
+
 def _where(df: DataFrame, predicates: list[Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, predicates)) if predicates else df
 
@@ -82,8 +91,8 @@ def filter_readings(df: DataFrame, spec: DatasetSpec, wanted: ReadingFilter) ->
     predicates: list[Column] = []
     if wanted.parsed_only and spec.date.success in df.columns:
         predicates.append(F.col(spec.date.success))
-    if wanted.date_range and spec.date.date in df.columns:
-        predicates.append(_inside(spec.date.date, wanted.date_range))
+    if wanted.date_range:
+        predicates += _dates_inside(df, spec, wanted.date_range)
     if wanted.measure_range and spec.measure in df.columns:
         predicates.append(_inside(spec.measure, wanted.measure_range))
     kept = _where(df, predicates)
@@ -99,8 +108,8 @@ def filter_payments(df: DataFrame, spec: DatasetSpec, wanted: PaymentFilter) ->
         predicates.append(F.col(date.status) == PARSED)
     if wanted.measure_range and spec.measure in df.columns:
         predicates.append(_inside(spec.measure, wanted.measure_range))
-    if wanted.date_range and date.date in df.columns:
-        predicates.append(_inside(date.date, wanted.date_range))
+    if wanted.date_range:
+        predicates += _dates_inside(df, spec, wanted.date_range)
     kept = _where(df, predicates)
     lists = {
         date.status: wanted.statuses,

@@ -102,6 +102,17 @@ def _fences(percentiles: Column, multiplier: float) -> dict[str, Column]:
     return {"q1": q1, "median": median, "q3": q3, "lower_fence": q1 - spread, "upper_fence": q3 + spread}
 
 
+# Largest side that is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def _key_bytes(df: DataFrame, key: str) -> int:
+    """Size of one row of fences per distinct key."""
+    keys = df.select(key).distinct()
+    size = F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.lit(96))
+    return keys.agg(F.coalesce(size, F.lit(0).cast("bigint"))).first()[0]
+
+
 def _fenced(
     df: DataFrame, measure: str, group: str | None, multiplier: float, limit: int
 ) -> tuple[DataFrame, str]:
@@ -116,6 +127,8 @@ def _fenced(
         return rows.select(F.lit(None).cast("string").alias(key), F.col(measure).alias("v"), one.alias("f")), key
     left = rows.select(F.col(group).alias("_key"), F.col(measure).alias("v"))
     right = fences.select(F.col(key), F.struct("q1", "median", "q3", "lower_fence", "upper_fence").alias("f"))
+    if _key_bytes(rows, group) <= BROADCAST_BYTES:
+        right = F.broadcast(right)
     joined = left.join(right, left["_key"].eqNullSafe(right[key]))
     return joined.select(key, "v", "f"), key
 
@@ -148,6 +161,16 @@ def box_outliers(
 
 
 def preview(df: DataFrame, n: int = 1000, order_by: Sequence[str] | None = None) -> DataFrame:
-    """First n rows in file order, for a table view. Planned as a per-task top-n."""
+    """First n rows in file order, for a table view.
+
+    The place of the n-th row is found on the order columns alone. It then bounds the scan of the
+    whole rows: the bound on the first order column skips row groups, and few rows are sorted.
+    """
     order = list(order_by) if order_by else [c for c in (SOURCE_FILE, ROW_ORDINAL) if c in df.columns]
-    return df.orderBy(*order).limit(n) if order else df.limit(n)
+    if not order:
+        return df.limit(n)
+    place = F.struct(*order)
+    last = df.select(place.alias("place")).orderBy("place").limit(n).agg(F.max("place").alias("last")).scalar()
+    first = F.col(order[0])
+    near = (first.isNull() | (first <= last[order[0]])) & (place <= last)
+    return df.where(near).orderBy(*order).limit(n)

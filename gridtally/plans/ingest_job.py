@@ -121,18 +121,21 @@ def quarantined_rows(spark: SparkSession, spec: DatasetSpec, files: Sequence[Raw
     return None if frame is None else frame.where(F.col(MALFORMED)).drop(MALFORMED)
 
 
-def _write(raw: RawTable, spark: SparkSession, uri: str) -> tuple[RawTable, bool, str]:
+def _write(
+    raw: RawTable, spark: SparkSession, uri: str, partition_by: str | None = None
+) -> tuple[RawTable, T.StructType, bool, str]:
     """Write the good rows; on malformed records name their files and write again without them."""
     frame = raw.frame(spark)
     if frame is None:
-        ok, text = write_parquet(spark.createDataFrame([], raw.spec.struct_type()), uri)
-        return raw, ok, text
+        empty = spark.createDataFrame([], raw.spec.struct_type())
+        return raw, empty.schema, *write_parquet(empty, uri, partition_by)
     seen = Observation(f"malformed-{uuid.uuid4()}")
     watched = frame.observe(seen, F.count_if(F.col(MALFORMED)).alias("n"))
-    ok, text = write_parquet(watched.where(~F.col(MALFORMED)).drop(MALFORMED), uri)
+    good = watched.where(~F.col(MALFORMED)).drop(MALFORMED)
+    ok, text = write_parquet(good, uri, partition_by)
     if not ok or raw.spec.malformed_policy != "fail_file" or not seen.get["n"]:
-        return raw, ok, text
-    return _write(raw.without(malformed_files(frame), _MALFORMED_REASON), spark, uri)
+        return raw, good.schema, ok, text
+    return _write(raw.without(malformed_files(frame), _MALFORMED_REASON), spark, uri, partition_by)
 
 
 def _per_file(table: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -198,13 +201,18 @@ def persist_dataset(
     mode = resolve_duplicate_policy(spec.duplicate_policy)
     dropping = mode in ("drop_first", "drop_last")
     raw = open_files(spark, spec, files)
-    stage = f"{shared_folder(spark, uri.rstrip('/') + '_stage')}/stage-{spec.name}-{uuid.uuid4()}" if dropping or partition_by else uri
-    raw, ok, text = _write(raw, spark, stage)
+    if dropping:
+        stage = f"{shared_folder(spark, uri.rstrip('/') + '_stage')}/stage-{spec.name}-{uuid.uuid4()}"
+        raw, schema, ok, text = _write(raw, spark, stage)
+    else:
+        stage = uri
+        raw, schema, ok, text = _write(raw, spark, uri, partition_by)
     notes = [message(spec.name, f"Failed to read {f.name}: {why}") for f, why in sorted(raw.failures.items())]
     if not ok:
         return Ingested(spec, spark.createDataFrame([], spec.struct_type()), uri,
                         file_inventory(spark, raw, None), [*notes, message(spec.name, text)], False)
-    staged = spark.read.parquet(stage)
+    # The schema is given: a month such as 2026-01 as partition value would be read as a date.
+    staged = spark.read.schema(schema).parquet(stage)
     inventory = file_inventory(spark, raw, staged)
     rows = staged.count()
     if not raw.headers:
@@ -221,14 +229,14 @@ def persist_dataset(
                 f"{before:,} duplicate rows before policy, {after:,} after policy.",
             )
         )
-    if stage != uri:
-        kept = drop_copies(staged, mode.removeprefix("drop_"), spec.dedup_exclude) if dropping and before else staged
+    if dropping:
+        kept = drop_copies(staged, mode.removeprefix("drop_"), spec.dedup_exclude) if before else staged
         ok, text = write_parquet(kept, uri, partition_by)
     if ok:
         name = uri.rstrip("/").rsplit("/", 1)[-1]
         text = f"Wrote {name} with {rows - (before - after):,} rows."
     notes.append(message(spec.name, text))
-    return Ingested(spec, spark.read.parquet(uri) if ok else staged, uri, inventory, notes, ok)
+    return Ingested(spec, spark.read.schema(schema).parquet(uri) if ok else staged, uri, inventory, notes, ok)
 
 
 def ingest_and_persist(

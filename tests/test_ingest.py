@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.operators.filters import failed_files, file_diagnostics
+from gridtally.operators.filters import PaymentFilter, failed_files, file_diagnostics, filter_payments
 from gridtally.plans.ingest_job import (
     ingest_and_persist, inventory_of, messages_of, persist_dataset, quarantined_rows, read_dataset,
 )
@@ -168,11 +168,16 @@ def test_duplicates_across_files_on_request(spark, folder):
     assert [r.source_file for r in done.table.collect()] == ["vend-1.csv"]
 
 
-def test_partitioned_table_and_overwrite(spark, folder):
+def test_partitioned_table_and_overwrite(spark, folder, plan_of):
     put(folder, "vend-1.csv", VEND_HEADER + "S1,1,A,1,2026-01-10\nS2,2,A,1,2026-02-10\nS3,3,A,1,\n")
     for _ in range(2):
         done = persist_dataset(spark, SPEC, files_of(spark, folder), f"{folder}/out/p", partition_by="vend_month")
     assert done.table.count() == 3
+    assert sorted(str(r.vend_month) for r in done.table.collect()) == ["2026-01", "2026-02", "None"]
+    wanted = PaymentFilter(date_range=(dt.date(2026, 2, 1), dt.date(2026, 2, 28)))
+    kept = filter_payments(done.table, SPEC, wanted)
+    assert [r.service_point_no for r in kept.collect()] == ["S2"]
+    assert "PartitionFilters: [isnotnull(vend_month" in plan_of(kept)
     assert sorted(p.name for p in Path(f"{folder}/out/p").glob("vend_month=*")) == [
         "vend_month=2026-01", "vend_month=2026-02", "vend_month=__HIVE_DEFAULT_PARTITION__",
     ]

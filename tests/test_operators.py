@@ -223,7 +223,9 @@ def test_box_stats_and_points(spark):
     assert result(rollups.box_outliers(df, "v")) == [(1000.0,)]
 
 
-def test_box_stats_with_a_hot_group(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 8 << 20])
+def test_box_stats_with_a_hot_group(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(rollups, "BROADCAST_BYTES", broadcast_bytes)
     rows = [("hot", float(i % 97)) for i in range(900)] + [("small", float(i)) for i in range(9)] + [("small", 500.0), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
     narrowed = {r.g: tuple(r)[1:] for r in rollups.box_stats(df, "v", "g", limit=50).collect()}
@@ -235,6 +237,9 @@ def test_box_stats_with_a_hot_group(spark):
 def test_preview_follows_row_order(spark):
     df = spark.range(0, 100, 1, 8).select(F.lit("f").alias("source_file"), F.struct(F.lit(0).alias("block"), (99 - F.col("id")).alias("seq")).alias("row_ordinal"), "id")
     assert [r.id for r in rollups.preview(df, 3).collect()] == [99, 98, 97]
+    assert rollups.preview(df, 1000).count() == 100 and rollups.preview(df.limit(0), 5).count() == 0
+    nulls = spark.createDataFrame([(2, "a"), (None, "b"), (1, "c"), (None, "d")], "k int, v string")
+    assert [r.k for r in rollups.preview(nulls, 3, ["k", "v"]).collect()] == [None, None, 1]
 
 
 # --- duplicates ---------------------------------------------------------------------------

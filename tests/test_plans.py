@@ -84,3 +84,12 @@ def test_no_python_and_no_cross_join_in_queries(spark, plan_of, name):
     plan = plan_of(QUERIES[name](spark, SF))
     for word in ("PythonUDF", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
+
+
+def test_preview_bounds_the_scan_of_whole_rows(table, plan_of):
+    df = rollups.preview(table, 100, ["event_id"])
+    assert df.count() == 100
+    plan = plan_of(df)
+    assert "TakeOrderedAndProject(limit=100" in plan
+    # The subquery that places the last row reads the order column alone.
+    assert "event_id:bigint" in scans(plan)
