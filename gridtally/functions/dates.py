@@ -1,8 +1,7 @@
 """Date parsing and the four-way classification of date texts.
 
 Numeric layouts are rewritten to ISO order and cast: a cast returns null for a bad value, where a
-pattern-based parser throws and catches an exception per row. The rewrite is one chain without
-branches, so the text is never evaluated twice.
+pattern-based parser throws and catches an exception per row.
 """
 
 from __future__ import annotations
@@ -39,11 +38,13 @@ def _years(first: int, last: int) -> str:
 def _iso_text(text: Column, policy: DatePolicy) -> Column:
     """Text of a numeric date in ISO order; empty when the text is no such date."""
     day_month = "$2-$1" if policy.day_first else "$1-$2"
-    text = F.regexp_replace(text, _YEAR_LAST, f"$3-{day_month}$4")
-    text = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")
+    other = F.regexp_replace(text, _YEAR_LAST, f"$3-{day_month}$4")
+    other = F.regexp_replace(other, _YEAR_FIRST, "$1-$2-$3$4")
     for century, years in _SHORT_YEARS.items():
-        text = F.regexp_replace(text, rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{years}{_TIME}", f"{century}$3-{day_month}$4")
-    return F.regexp_extract(text, rf"^{_years(policy.min_year, policy.max_year)}-\d{{1,2}}-\d{{1,2}}{_TIME}", 0)
+        other = F.regexp_replace(other, rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{years}{_TIME}", f"{century}$3-{day_month}$4")
+    # Text that begins like an ISO date needs no rewrite.
+    ordered = F.when(text.rlike(r"^\d{4}-"), text).otherwise(other)
+    return F.regexp_extract(ordered, rf"^{_years(policy.min_year, policy.max_year)}-\d{{1,2}}-\d{{1,2}}{_TIME}", 0)
 
 
 def _by_format(text: Column, pattern: str) -> Column:
@@ -56,10 +57,13 @@ def parse_timestamp(text: Column, policy: DatePolicy) -> Column:
     half_day = rf"^\d{{1,2}}/\d{{1,2}}/{years} {_CLOCK} [AaPp][Mm]$"
     named = rf"^(\d{{1,2}})[- ]([A-Za-z]{{3}})[a-z]{{0,6}}[- ]({years})( {_CLOCK})?$"
     day_month = "d/M" if policy.day_first else "M/d"
+    worded = F.regexp_replace(text, named, "$1-$2-$3$4")
     return F.coalesce(
         _iso_text(text, policy).try_cast("timestamp_ntz"),
-        F.when(text.rlike(half_day), _by_format(text, f"{day_month}/yyyy h:mm[:ss] a")),
-        F.when(text.rlike(named), _by_format(F.regexp_replace(text, named, "$1-$2-$3$4"), "d-MMM-yyyy[ H:mm[:ss]]")),
+        F.when(
+            text.rlike(f"{half_day}|{named}"),
+            _by_format(worded, f"[{day_month}/yyyy h:mm[:ss] a][d-MMM-yyyy[ H:mm[:ss]]]"),
+        ),
         *[_in_years(_by_format(text, pattern), policy) for pattern in policy.extra_formats],
     )
 

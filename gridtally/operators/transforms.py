@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions import dates, numbers, text
-from gridtally.spec import ROW_ORDINAL, SOURCE_FILE, TIME_ONLY, DatasetSpec, DatePolicy
+from gridtally.spec import ROW_ORDINAL, SOURCE_FILE, DatasetSpec, DatePolicy
 
 
 def standardize_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -148,7 +148,7 @@ def _profile_row(position: int, column: str, dtype: str, ranged: bool) -> str:
     text = f"cast({column} AS varchar)"
     first = f"(SELECT string_agg(t, ' | ' ORDER BY payment_id) FROM (SELECT payment_id, {text} AS t FROM payments WHERE {column} IS NOT NULL ORDER BY payment_id LIMIT 3))"
     low, high = (f"cast(min({column}) AS varchar)", f"cast(max({column}) AS varchar)") if ranged else ("NULL", "NULL")
-    return f"""SELECT {position} AS position, '{column}' AS "column", '{dtype}' AS dtype, count({column}) AS non_null_count,
+    return f"""SELECT cast({position} AS bigint) AS position, '{column}' AS "column", '{dtype}' AS dtype, count({column}) AS non_null_count,
        count(*) - count({column}) AS null_count,
        round_even({_percent(f'(count(*) - count({column}))', 'count(*)')}, 2) AS missing_pct,
        count(DISTINCT {column}) AS unique_count, {first} AS sample_values, {low} AS min_value, {high} AS max_value
@@ -319,7 +319,7 @@ FROM raw_readings""",
     "dup_policy_drop": _with(_REPEATED)
     + "SELECT DISTINCT payment_id, meterno, transactionamount, vend_date, source_file FROM repeated",
     "dup_policy_counts": _with(_REPEATED)
-    + """SELECT 'drop_last' AS mode, cast(sum(copies - 1) AS bigint) AS "before", 0 AS "after" FROM groups
+    + """SELECT 'drop_last' AS mode, cast(sum(copies - 1) AS bigint) AS "before", cast(0 AS bigint) AS "after" FROM groups
 UNION ALL SELECT 'keep_all', cast(sum(copies - 1) AS bigint), cast(sum(copies - 1) AS bigint) FROM groups""",
     "dup_keep_last_by_key": _with(_PAYMENTS)
     + """SELECT meterno, payment_id, transactionamount, source_file FROM (
@@ -474,7 +474,7 @@ UNION ALL SELECT 'event_id', {_FLAGS.format(c='event_id')} FROM typed""",
        round_even({_percent(f'(count(*) - count({c}))', 'count(*)')}, 2) AS missing_pct FROM typed"""
         for c in ("event_id", "meterno", "categorycode", "transactionamount", "issuedate_parse_status", "vend_date")
     ),
-    "table_overview": _with(_PAYMENTS) + """SELECT count(*) AS "rows", 8 AS "columns" FROM payments""",
+    "table_overview": _with(_PAYMENTS) + """SELECT count(*) AS "rows", cast(8 AS bigint) AS "columns" FROM payments""",
     "column_profile": _with(_PAYMENTS)
     + "\nUNION ALL\n".join(
         _profile_row(i, *row)
@@ -499,10 +499,10 @@ UNION ALL SELECT 'failed_or_missing', count(*) - count(midnightdate_parsed) FROM
        round_even({_percent('count(issuedate_parsed)', 'count(*)')}, 2) AS parse_coverage_pct,
        count(CASE WHEN issuedate_parsed > TIMESTAMP '2001-01-31 00:00:00' THEN 1 END) AS future_row_count,
        cast(max(issuedate_parsed) AS date) AS latest_date, cast(min(issuedate_parsed) AS date) AS oldest_date,
-       max(issuedate_parsed) < TIMESTAMP '2000-10-03 00:00:00' AS is_stale, 90 AS stale_days FROM payments""",
+       max(issuedate_parsed) < TIMESTAMP '2000-10-03 00:00:00' AS is_stale, cast(90 AS bigint) AS stale_days FROM payments""",
     "categorical_check": _with(_PAYMENTS)
     + "\nUNION ALL\n".join(
-        f"""SELECT '{c}' AS "column", {n} AS allowed_count, count(*) AS invalid_count,
+        f"""SELECT '{c}' AS "column", cast({n} AS bigint) AS allowed_count, count(*) AS invalid_count,
        (SELECT string_agg(v, ' | ' ORDER BY place) FROM (
           SELECT {c} AS v, min(payment_id) AS place FROM payments WHERE {c} NOT IN {allowed} GROUP BY {c} ORDER BY place LIMIT 5)
        ) AS sample_invalid_values
@@ -535,7 +535,7 @@ FROM payments WHERE {c} NOT IN {allowed}"""
        {_money('transactionamount')} AS total_value FROM typed GROUP BY issuedate_parse_status, analysis_hour""",
     "file_inventory": _with(_TYPED)
     + """SELECT 'vend' AS dataset, 'ok' AS read_status, event_id % 2 = 0 AS schema_valid,
-       CASE WHEN event_id % 2 = 0 THEN 5 ELSE 3 END AS column_count,
+       cast(CASE WHEN event_id % 2 = 0 THEN 5 ELSE 3 END AS bigint) AS column_count,
        CASE WHEN event_id % 2 = 0 THEN 'servicepointno, meterno, categorycode, transactionamount, issuedate'
             ELSE 'issuedate, meterno, event_id' END AS standardized_columns,
        count(*) AS rows_read, count(CASE WHEN issuedate_parse_status <> 'parsed_datetime' THEN 1 END) AS parse_warning_count

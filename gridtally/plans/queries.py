@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.functions import dates, numbers, text
+from gridtally.functions import numbers, text
 from gridtally.operators import dedupe, filters, kpis, profile, quality, rollups, transforms
 from gridtally.plans.ingest_job import inventory_of, persist_dataset, shared_folder
 from gridtally.plans.quality_suite import CHECKS, NUMERIC_CHECKS, SNAPSHOT_CHECKS, run_checks, snapshot, suite_rows

@@ -38,7 +38,10 @@ class FileHeader:
 
 
 def _first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First CSV record of the one file of this task; the rest of the file is left unread."""
+    """First CSV record of the one file of this task; the rest of the file is left unread.
+
+    A first record that cannot be read (a quote that never closes) gives nothing: no header.
+    """
     path: list[str] = []
 
     def lines() -> Iterator[str]:
@@ -47,10 +50,12 @@ def _first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 path[:] = [name]
                 yield line.lstrip("\ufeff") + "\n"
 
-    for cells in csv.reader(lines()):
-        if cells:
-            yield pd.DataFrame({"path": path, "cells": [cells]})
-            return
+    try:
+        header = next((cells for cells in csv.reader(lines()) if cells), None)
+    except csv.Error:
+        header = None
+    if header is not None:
+        yield pd.DataFrame({"path": path, "cells": [header]})
 
 
 def read_headers(spark: SparkSession, files: list[RawFile]) -> tuple[list[FileHeader], list[RawFile]]:

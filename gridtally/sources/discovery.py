@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -70,9 +71,11 @@ def discover(spark: SparkSession, raw_uri: str, specs: Iterable[DatasetSpec]) ->
 
 def _in_directory(path: str, directory: str) -> bool:
     """Whether a file lies directly in the directory (partition folders are not searched)."""
-    return path.rsplit("/", 1)[0].split(":", 1)[-1].strip("/").endswith(
-        directory.rstrip("/").split(":", 1)[-1].strip("/")
-    )
+    parent = path.rsplit("/", 1)[0].split(":", 1)[-1]
+    wanted = posixpath.normpath(directory.split(":", 1)[-1])
+    while wanted.startswith("../"):
+        wanted = wanted[3:]
+    return wanted == "." or parent.strip("/").endswith(wanted.strip("/"))
 
 
 def decoded_name() -> Column:

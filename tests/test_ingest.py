@@ -54,6 +54,7 @@ def test_discovery_is_flat_sorted_and_keeps_empty_files(spark, folder):
     assert [f.name for f in found["vend"]] == ["vend-a 1+2%.csv", "vend-b.csv", "vend-consumption.csv", "vend-empty.csv"]
     assert [f.name for f in found["consumption"]] == ["Jan_consumption.csv", "vend-consumption.csv"]
     assert {f.name: f.size for f in found["vend"]}["vend-empty.csv"] == 0
+    assert discover(spark, f"{folder}/raw/../raw/./", [VEND])["vend"] == found["vend"]
     assert list_files(spark, f"{folder}/nowhere", "*.csv") == []
 
 
@@ -61,10 +62,11 @@ def test_headers_bom_quotes_and_blank_lines(spark, folder):
     put(folder, "vend-1.csv", b"\xef\xbb\xbf\n" + b'"Meter, No",b\n1,2\n')
     put(folder, "vend-2.csv", '"two\nlines",b\n1,2\n')
     put(folder, "vend-3.csv", "")
+    put(folder, "vend-4.csv", '"never closed ' + "x\n" * 200_000)
     headers, empty = read_headers(spark, files_of(spark, folder))
     assert [h.raw for h in headers] == [("Meter, No", "b"), ("two\nlines", "b")]
     assert [h.standard for h in headers] == [("meter_no", "b"), ("two_lines", "b")]
-    assert [f.name for f in empty] == ["vend-3.csv"]
+    assert [f.name for f in empty] == ["vend-3.csv", "vend-4.csv"]
 
 
 def test_files_with_different_headers_are_merged_by_name(spark, folder):
@@ -128,6 +130,9 @@ def test_line_breaks_in_cells_need_multi_line(spark, folder):
     assert inventory(ingest(spark, folder))["vend-1.csv"].read_status == "error"
     done = ingest(spark, folder, replace(SPEC, multi_line=True))
     assert done.table.first().categorycode == "two\nlines"
+    put(folder, "vend-2.csv", VEND_HEADER + 'S1,1,"two\nlines, here",1,2026-01-10\nS2,2,A,1,2026-01-10,surplus\n')
+    files = inventory(ingest(spark, folder, replace(SPEC, multi_line=True)))
+    assert {n: r.read_status for n, r in files.items()} == {"vend-1.csv": "ok", "vend-2.csv": "error"}
 
 
 def test_names_that_differ_in_case_and_reserved_names(spark, folder):

@@ -6,7 +6,6 @@ import datetime as dt
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridtally.operators import dedupe, filters, kpis, quality, rollups
 from gridtally.plans.queries import QUERIES
