@@ -120,6 +120,13 @@ def drop_copies(
     return kept if unique is None else kept.unionByName(unique)
 
 
+# Fixed value: text shown when the error policy meets duplicates.
+ERROR_POLICY_TEXT = (
+    "Duplicate policy is set to error and duplicates were detected. "
+    "Rows were preserved; review Data Quality diagnostics."
+)
+
+
 @dataclass(frozen=True)
 class Deduplicated:
     """Result of a duplicate policy: the rows, a one-row table of counts, and warnings."""
@@ -131,10 +138,7 @@ class Deduplicated:
     def messages(self, before: int) -> list[str]:
         if self.mode != "error" or before == 0:
             return []
-        return [
-            "Duplicate policy is set to error and duplicates were detected. "
-            "Rows were preserved; review Data Quality diagnostics."
-        ]
+        return [ERROR_POLICY_TEXT]
 
 
 def apply_duplicate_policy(

@@ -274,6 +274,9 @@ def _invalid_values(df: DataFrame, column: str, texts: list[str], order: list[st
 # --- warnings -----------------------------------------------------------------------------
 
 
+# The wording of all warnings below is fixed: readers and exports compare these texts.
+
+
 def _number(count: Column) -> Column:
     return F.format_number(count, 0)
 

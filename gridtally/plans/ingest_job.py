@@ -23,6 +23,7 @@ from gridtally.sources.csv_source import MALFORMED, FileHeader, header_groups, r
 from gridtally.sources.discovery import RawFile, discover
 from gridtally.spec import PARSED, SOURCE_FILE, DatasetSpec, resolve_duplicate_policy
 
+# Columns of the file inventory, in order.
 INVENTORY = T.StructType(
     [
         T.StructField("dataset", T.StringType()),
