@@ -8,7 +8,7 @@ is inferred and identifiers keep their leading zeros.
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -37,25 +37,31 @@ class FileHeader:
         return ", ".join(f"{a}->{b}" for a, b in zip(self.raw, self.standard))
 
 
-def _first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First CSV record of the one file of this task; the rest of the file is left unread.
+def _header_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The task function of the header job. Defined inside so that it travels by value: workers
+    need not have this package installed."""
 
-    A first record that cannot be read (a quote that never closes) gives nothing: no header.
-    """
-    path: list[str] = []
+    def first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """First CSV record of the one file of this task; the rest of the file is left unread.
+
+        A first record that cannot be read (a quote that never closes) gives nothing: no header.
+        """
+        path: list[str] = []
+
+        def lines() -> Iterator[str]:
+            for batch in batches:
+                for name, line in zip(batch["path"], batch["value"]):
+                    path[:] = [name]
+                    yield line.lstrip("\ufeff") + "\n"
 
-    def lines() -> Iterator[str]:
-        for batch in batches:
-            for name, line in zip(batch["path"], batch["value"]):
-                path[:] = [name]
-                yield line.lstrip("\ufeff") + "\n"
+        try:
+            header = next((cells for cells in csv.reader(lines()) if cells), None)
+        except csv.Error:
+            header = None
+        if header is not None:
+            yield pd.DataFrame({"path": path, "cells": [header]})
 
-    try:
-        header = next((cells for cells in csv.reader(lines()) if cells), None)
-    except csv.Error:
-        header = None
-    if header is not None:
-        yield pd.DataFrame({"path": path, "cells": [header]})
+    return first_record
 
 
 def read_headers(spark: SparkSession, files: list[RawFile]) -> tuple[list[FileHeader], list[RawFile]]:
@@ -73,7 +79,7 @@ def read_headers(spark: SparkSession, files: list[RawFile]) -> tuple[list[FileHe
     job.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     text_rows = job.read.text([literal_path(f.path) for f in files]).where("_metadata.file_block_start = 0")
     lines = text_rows.select(F.col("_metadata.file_path").alias("path"), "value")
-    found = lines.mapInPandas(_first_record, "path string, cells array<string>").collect()
+    found = lines.mapInPandas(_header_reader(), "path string, cells array<string>").collect()
     cells = {plain_path(r["path"]): r["cells"] for r in found}
     headers, empty = [], []
     for file in files:

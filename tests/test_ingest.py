@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import subprocess
+import sys
 from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gridtally.operators.filters import PaymentFilter, failed_files, file_diagnostics, filter_payments
@@ -14,7 +17,7 @@ from gridtally.plans.ingest_job import (
 )
 from gridtally.plans.pipeline import export_quality, run_pipeline
 from gridtally.sinks.files import stamped_name, write_csv, write_parquet
-from gridtally.sources.csv_source import read_headers
+from gridtally.sources.csv_source import _header_reader, read_headers
 from gridtally.sources.discovery import discover, list_files
 from gridtally.spec import CONSUMPTION, VEND
 from gridtally.streaming.incremental import ingest_new_files, read_inventory, read_table
@@ -253,3 +256,14 @@ def test_incremental_refuses_cross_file_dedup(spark, folder):
     spec = replace(SPEC, duplicate_policy="drop_first", dedup_exclude=("source_file",))
     with pytest.raises(ValueError):
         ingest_new_files(spark, spec, f"{folder}/raw", f"{folder}/out", f"{folder}/c")
+
+
+def test_header_task_runs_where_the_package_is_not_installed(folder):
+    Path(folder, "task.bin").write_bytes(cloudpickle.dumps(_header_reader()))
+    code = (
+        "import pickle, pandas as pd\n"
+        f"task = pickle.load(open({folder + '/task.bin'!r}, 'rb'))\n"
+        "print(next(task(iter([pd.DataFrame({'path': ['p'], 'value': ['a,b']})])))['cells'][0])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, env={"PATH": ""})
+    assert done.stdout.strip() == "['a', 'b']", done.stderr
