@@ -5,13 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import lines, mixing, packing, quality, simhash
+from gridtally.llm import lines, mixing, packing, quality, sharding, simhash, spans, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(table(spark, sf_dir, "documents"), length=50).drop("spans")
+
+
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), vectors.Settings(cosine=0.93))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -33,9 +54,71 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op7_mixing, op8_packing, op9_lines, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_spans, op3_vectors, op4_sharding, op5_warc, op6_simhash, op7_mixing, op8_packing, op9_lines, op10_quality)
+}
 
+# Trained models (1, 10), a heap over groups (4), a hash that SQL lacks (6) and tokens (8) are no SQL.
 ORACLES = {
+    "op2_spans": """
+        WITH texts AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), windows AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM texts)
+        ), first AS (
+            SELECT s, min(doc_id) AS least FROM windows GROUP BY s HAVING count(*) > 1
+        ), hits AS (
+            SELECT w.doc_id, w.i FROM windows w JOIN first f USING (s) WHERE w.doc_id > f.least
+        ), bytes AS (
+            SELECT doc_id, substr(h, 2 * b + 1, 2) AS v, b FROM (SELECT *, unnest(range(0, length(h) // 2)) AS b FROM texts)
+        ), covered AS (
+            SELECT b.doc_id, b.b, b.v, coalesce(max(h.i) OVER (PARTITION BY b.doc_id ORDER BY b.b) > b.b - 50, false) AS gone
+            FROM bytes b LEFT JOIN hits h ON h.doc_id = b.doc_id AND h.i = b.b
+        ), edges AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY b), false) AS opens FROM covered
+        ), cut AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                   string_agg(v, '' ORDER BY b) FILTER (WHERE NOT gone) AS kept
+            FROM edges GROUP BY doc_id
+        )
+        SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(c.kept, ''))) AS kept_sha256
+        FROM texts t LEFT JOIN cut c USING (doc_id)
+    """,
+    "op3_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+        ), reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (
+            SELECT a, min(b) AS b FROM reach GROUP BY a
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+               least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, least(e.vec_id, coalesce(m.b, e.vec_id)) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN least m ON m.a = e.vec_id
+    """,
+    "op5_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), coded AS (
+            SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+                   translate(concat(to_base(CAST('0x' || substr(hex, 1, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(hex, 11, 10) AS BIGINT), 32, 8),
+                                    to_base(CAST('0x' || substr(hex, 21, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(hex, 31, 10) AS BIGINT), 32, 8)),
+                             '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+            FROM payloads
+        ), judged AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM coded
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM judged
+    """,
     "op9_lines": """
         WITH lines AS (
             SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
