@@ -89,8 +89,8 @@ ORACLES = {
     "op3_vectors": """
         WITH RECURSIVE usable AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
             WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
@@ -139,7 +139,7 @@ ORACLES = {
     "op7_mixing": """
         WITH sized AS (
             SELECT doc_id, source,
-                   CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+                   CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
                    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
             FROM documents
         ), sources AS (
