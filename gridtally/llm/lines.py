@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import partitions, stored, text_of
+from gridtally.llm.common import partitions, stored, text_of, unused
 from gridtally.llm.textbuf import buffer_of, line_ranges, slices
 
 STRIPPED = bytes([32, 9, 10, 11, 12, 13])
@@ -161,22 +161,24 @@ def kept_text(text: str, keep: bytes) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i >= len(bits) or bits[i])
 
 
-def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    maps = bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("keep").alias("_keep"))
-    left = docs.withColumn("_row", F.xxhash64(text_of()))
-    return left.join(maps, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r", "_row")
+def _with_bitmaps(docs: DataFrame, keep: str, min_chars: int, min_docs: int) -> DataFrame:
+    """The documents with their bitmap, or null, in column `keep`."""
+    own, row, doc = (unused(docs, n) for n in ("own_row", "bitmap_row", "bitmap_doc"))
+    maps = bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("keep").alias(keep))
+    left = docs.withColumn(own, F.xxhash64(text_of()))
+    return left.join(maps, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(row)), "left").drop(doc, row, own)
 
 
 def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with their remaining lines; other columns as they were, but n_chars follows the text."""
-    names, at = docs.columns, docs.columns.index("text")
+    names, at, keep = docs.columns, docs.columns.index("text"), unused(docs, "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if k is None or t is None else kept_text(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("_keep").to_pylist(), strict=True)]
+            texts = [t if k is None or t is None else kept_text(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if i == at else batch.column(n) for i, n in enumerate(names)], names=names)
 
-    out = _with_bitmaps(docs, min_chars, min_docs).mapInArrow(run, docs.schema)
+    out = _with_bitmaps(docs, keep, min_chars, min_docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_of()).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -186,7 +188,7 @@ def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, gone, sha = [], [], []
-            for t, k in zip(batch.column("text").to_pylist(), batch.column("_keep").to_pylist(), strict=True):
+            for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True):
                 t = t or ""
                 lines.append(t.count("\n") + 1)
                 gone.append(0 if k is None else int((~unpack(k)).sum()))
@@ -194,4 +196,4 @@ def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_bitmaps(slim, min_chars, min_docs).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(slim, "keep", min_chars, min_docs).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

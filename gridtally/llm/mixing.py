@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import small, stored, text_of, words_in
+from gridtally.llm.common import small, stored, text_of, unused, words_in
 
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash, and of each refinement.
@@ -100,21 +100,18 @@ def _planned(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int
     return stored(thresholds(sizes, targets(sizes, weights, share, most), most), "mixing")
 
 
-def copies() -> Column:
-    return F.col("base") + (F.col("hash") <= F.col("threshold")).cast("long")
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     sizes = stored(_sized(docs), "sizes")
     plan = _planned(sizes, weights, share, most).withColumnRenamed("source", "_s")
-    return sizes.join(small(plan), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return sizes.join(small(plan), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + (F.col("hash") <= F.col("threshold")).cast("long"))).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = 3) -> DataFrame:
     """The documents the mix takes, each as often as it is taken."""
     sizes = stored(_sized(docs), "sizes")
-    plan = _planned(sizes, weights, share, most).select(F.col("source").alias("_s"), F.col("base").alias("_base"), F.col("threshold").alias("_to"))
-    rows = docs.withColumn("_hash", hash_of()).join(small(plan), F.col("source").eqNullSafe(F.col("_s")))
-    times = F.col("_base") + (F.col("_hash") <= F.col("_to")).cast("long")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    own, source, base, to, copy = (unused(docs, n) for n in ("mix_hash", "mix_source", "mix_base", "mix_to", "mix_copy"))
+    plan = _planned(sizes, weights, share, most).select(F.col("source").alias(source), F.col("base").alias(base), F.col("threshold").alias(to))
+    rows = docs.withColumn(own, hash_of()).join(small(plan), F.col("source").eqNullSafe(F.col(source)))
+    times = F.col(base) + (F.col(own) <= F.col(to)).cast("long")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import smallest_reachable, stored, text_of
+from gridtally.llm.common import smallest_reachable, stored, text_of, unused
 from gridtally.llm.textbuf import Words, buffer_of, slices
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -69,14 +69,15 @@ def fingerprinter(shingle: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = fingerprints_of(*buffer_of(part.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(found.view(np.int64))], names=["doc_id", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(fingerprinter(shingle), "doc_id long, fp long")
+    """(doc_id, row, fp): fp is the fingerprint as a signed long; row tells rows apart that share a doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
+    return rows.mapInArrow(fingerprinter(shingle), "doc_id long, row long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def links(nodes: DataFrame, distance: int = 4, part_rows: int = 20_000) -> DataF
 
 
 def components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every document: the smallest doc_id that links reach."""
+    """(doc_id, row, fp, component_id) of every document: the smallest doc_id that links reach."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     reach = smallest_reachable(links(nodes.select("fp"), distance))
@@ -223,7 +224,7 @@ def components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFram
     named = stored(named, "fingerprint-components")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "row", "fp", "component_id")
 
 
 def digest(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -232,10 +233,12 @@ def digest(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, one row of each."""
-    kept = components(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # Rows that share the doc_id are repeats of each other or of different texts: the first text stays.
-    names = [c for c in docs.columns if c != "doc_id"]
-    picked = rows.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("_t"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(names)))).alias("_row"))
-    return picked.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"_row._{names.index(c)}").alias(c) for c in docs.columns))
+    """One row of each component: that of its smallest doc_id. If several rows share that, one of them."""
+    doc, row, whole = (unused(docs, n) for n in ("kept_doc", "kept_row", "kept_whole"))
+    chosen = components(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    none = F.lit(-(1 << 63))
+    kept = chosen.groupBy(F.coalesce("doc_id", none).alias(doc)).agg(F.min("row").alias(row))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), none), row: F.xxhash64(text_of())})
+    # Equal rows fall into one group, which needs no further shuffle or sort after the join.
+    rows = keyed.join(kept, [doc, row], "left_semi").groupBy(doc, row).agg(F.min(F.struct(*docs.columns)).alias(whole))
+    return rows.select(*(F.col(whole)[c].alias(c) for c in docs.columns))

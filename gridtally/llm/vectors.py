@@ -168,7 +168,7 @@ def checker(s: Settings, rotations: int):
         own = np.array([r[4] for r in rows])
         count = np.array([r[6] for r in rows])
         x = unit_rows([r[7] for r in rows])
-        across = part >= 0 and len(np.unique(own)) > 1
+        across = part >= 0 and part >> 32 != part & 0xFFFFFFFF
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         codes: np.ndarray | None = None
         for i in range(0, len(rows), 512):
@@ -237,12 +237,12 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
     key = ["label", "bank", "bucket"]
     hot = nodes.select("label", "node", "n", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary, n long, vector binary").groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > s.part_rows)
     hot = stored(hot.select(*key, F.ceil(F.col("k") / s.part_rows).cast("int").alias("parts")), "hot-buckets")
-    dealt = coded.withColumns({"part": F.lit(-1), "own": F.lit(0)})
+    dealt = coded.withColumns({"part": F.lit(-1).cast("long"), "own": F.lit(0)})
     if not hot.isEmpty():
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least("own", j).cast("long"), 32) + F.greatest("own", j))
         joined = coded.join(hot, key, "left").withColumn("own", F.coalesce(own, F.lit(0)))
-        dealt = joined.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(pairs))).drop("parts")
+        dealt = joined.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs))).drop("parts")
     dealt = dealt.repartition(*key, "part").sortWithinPartitions(*key, "part")
     links = stored(dealt.mapInArrow(checker(s, rotations), "node binary, root binary, links long"), "vector-links")
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
