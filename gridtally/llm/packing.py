@@ -4,8 +4,8 @@ Documents become token ids followed by an end id; only documents longer than a s
 Pieces are dealt by hash into blocks of a bounded number of pieces. Each block is packed best fit,
 longest first, and then improved: pieces are moved, exchanged one for one or two for one between
 underfull sequences whenever that raises the sum of squared fills, which drains the emptiest ones
-until they vanish or the block has as few sequences as its tokens need. A block wastes less than
-one sequence as a rule, so the total is near the least possible at any size.
+until they vanish or the block has as few sequences as its tokens need. What the blocks leave
+underfull is packed once more together, so the total is near the least possible at any size.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed once each; a
 null doc_id stays null. Extra columns are ignored. No tokens are dropped.
@@ -195,37 +195,53 @@ def _best_move(bins, sizes, fill, low, others, capacity):
     return best
 
 
-def packer(length: int):
-    """Task: one block of pieces to its sequences."""
+def packer(length: int, series: int):
+    """Task: one block of pieces to its sequences. series: tells the sequences of the rounds apart."""
 
     def run(table: pa.Table) -> pa.Table:
         # The order must not depend on how rows arrive.
         table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
         sizes = table.column("length").to_pylist()
         bins = improve(best_fit(sizes, length), sizes, length)
-        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        sequence, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
         for k, members in enumerate(bins):
             at = 0
             for i in members:
                 sequence[i], offset[i] = k, at
                 at += sizes[i]
-        block = table.column("block").to_numpy().astype(np.int64)
-        sequence += block << 32
-        return table.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            fill[members] = at
+        sequence += (table.column("block").to_numpy().astype(np.int64) << 28) + (series << 60)
+        columns = {"sequence_id": sequence, "offset": offset, "fill": fill}
+        table = table.drop_columns(["block"])
+        for name, values in columns.items():
+            table = table.append_column(name, pa.array(values))
+        return table
 
     return run
 
 
-def pack(found: DataFrame, length: int = 4096, block_rows: int = 10_000) -> DataFrame:
-    """Pieces with sequence_id and offset. found: a stored table of pieces without ids."""
-    open_rows = found.where(F.col("length") < length).count()
-    blocks = max(1, -(-open_rows // block_rows))
+def _round(rows: DataFrame, count: int, length: int, block_rows: int, series: int) -> DataFrame:
+    blocks = max(1, -(-count // block_rows))
+    # Equal rows go apart by a number of their own, so no row is too frequent for one block.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    return stored(dealt.groupBy("block").applyInArrow(packer(length, series), PIECE + ", sequence_id long, offset long, fill long"), "packed")
+
+
+def pack(found: DataFrame, length: int = 4096, block_rows: int = 5_000) -> DataFrame:
+    """Pieces with sequence_id and offset. found: a stored table of pieces without ids.
+
+    The sequences that a block leaves underfull are taken apart and packed once more with those of
+    other blocks.
+    """
     # A full piece is a sequence of its own; only the others are packed.
     alone = found.where(F.col("length") >= length).withColumns(
         {"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
-    dealt = found.where(F.col("length") < length).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.rand(7)), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("block").applyInArrow(packer(length), PIECE + ", sequence_id long, offset long")
-    return packed.unionByName(alone.select(packed.columns))
+    short = found.where(F.col("length") < length)
+    first = _round(short, short.count(), length, block_rows, 0)
+    rest = first.where(F.col("fill") < length).select(*found.columns)
+    second = _round(rest, rest.count(), length, block_rows, 1)
+    columns = [*found.columns, "sequence_id", "offset"]
+    return first.where(F.col("fill") >= length).select(*columns).unionAll(second.select(*columns)).unionAll(alone.select(*columns))
 
 
 def packed(docs: DataFrame, vocabulary_path: str, length: int = 4096, end_id: int = 1) -> DataFrame:
