@@ -15,10 +15,10 @@ def new_uri(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark, '/tmp/gridtally').rstrip('/')}/llm-{name}-{uuid.uuid4()}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table: a lost executor costs no more than the step that was running."""
     uri = new_uri(df.sparkSession, name)
-    df.write.parquet(uri)
+    df.write.parquet(uri, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 

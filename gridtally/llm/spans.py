@@ -3,19 +3,22 @@
 Every byte that lies in a string of `length` bytes which also starts in a document with a smaller
 doc_id goes. The work is cut so that equal strings meet without sorting the suffixes of all text:
 
-1. Each window of `length` bytes has an anchor, the 16-gram of least hash in it; equal windows have
+1. Each window of `length` bytes has an anchor, the 24-gram of least hash in it; equal windows have
    equal anchors. Anchor hashes travel as sorted, packed arrays, one row per slice of text and
    receiver, and those that only one document has are dropped there.
-2. The windows of a shared anchor form a snippet of at most 84 bytes around it. Snippets of equal
+2. The windows of a shared anchor form a snippet of at most 76 bytes around it. Snippets of equal
    anchors meet in one task, which joins them to one text and sorts its suffixes in two stages:
    only suffixes smaller than their successors are sorted directly, the others are induced by one
    scan over the buckets of the first byte. Adjacent common prefixes of at least `length` bytes are
    groups of equal windows, and a group's smallest doc_id decides for all of it.
 3. Decisions come back as bit masks per snippet, are gathered per document and cut from its text.
 
+Exact copies of a smaller doc_id's whole text go as a whole and take no part in the search.
+
 Anchors that very many documents share are told apart while the text is read (they repeat within
-one slice); their snippets are first folded to distinct ones, and then their windows are compared
-by grouped minima, so no task ever holds all documents of a passage.
+one slice) or when their documents are counted; their snippets are first folded to distinct ones,
+and then their windows are compared by grouped minima, so no task ever holds all documents of a
+passage.
 
 Defined results: a null text is empty; a null doc_id is smaller than all others; rows that share a
 doc_id do not remove from each other and are each judged alone; texts below `length` bytes stay.
@@ -25,6 +28,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +40,14 @@ from pyspark.sql import functions as F
 from gridtally.llm.common import partitions, stored, text_of
 from gridtally.llm.textbuf import buffer_of, slices
 
-GRAM = 16
+GRAM = 24
 NO_ID = -(1 << 63)
 #: Bits of an anchor hash; the six below hold the place of the least hash in a window.
 HASH_BITS = 58
 #: Documents of one slice that share an anchor from which on it counts as very common.
 COMMON = 32
+#: Documents with an anchor from which on it counts as very common wherever they lie.
+MANY = 20_000
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -58,9 +64,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     if len(data) < length:
         return none, none, none, none
     eight = words_at(data)
-    h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    h = eight[:-16] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    h += eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h += eight[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h *= np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(31)
+    h += eight[16:] * np.uint64(0x85EBCA77C2B2AE63)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h &= np.uint64(0xFFFFFFFFFFFFFFC0)
@@ -153,7 +162,7 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         last = np.append(first[1:], len(h)) - 1
         size = last - first + 1
-        common = np.repeat(np.logical_or.reduceat(stand_in, first), size)
+        common = np.repeat(np.logical_or.reduceat(stand_in, first) | (size >= MANY), size)
         take = (np.repeat(doc[first] != doc[last], size) | common) & ~stand_in
         yield from rows(doc[take], h[take], common[take])
 
@@ -315,7 +324,19 @@ def decide(snippet: pa.Array, doc: np.ndarray, length: int) -> np.ndarray:
 
 
 def decider(length: int, most: int = 1 << 20):
-    """Task: snippets sorted by anchor to (doc_id, row, start, mask), whole anchors at a time."""
+    """Task: snippets sorted by anchor to (doc_id, row, start, mask), whole anchors at a time.
+
+    Folded rows come decided: the smallest doc of each window, and the places that have the snippet.
+    """
+
+    def folded(rows: list[str]) -> Iterator[pa.RecordBatch]:
+        for row in map(json.loads, rows):
+            least = np.array(row["smallest"], dtype=np.int64)
+            own = [np.array([p[c] for p in row["places"]], dtype=np.int64) for c in ("doc_id", "row", "start")]
+            gone = least[None, :] < own[0][:, None]
+            mask = (gone.astype(np.int64) << np.arange(len(least))).sum(axis=1)
+            some = mask != 0
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in own), pa.array(mask[some])], names=["doc_id", "row", "start", "mask"])
 
     def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -329,6 +350,9 @@ def decider(length: int, most: int = 1 << 20):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if batch.column("folded")[0].is_valid:  # folded rows come in partitions of their own
+                yield from folded(batch.column("folded").to_pylist())
+                continue
             anchor = batch.column("anchor").to_numpy()
             bytes_to = np.cumsum(np.diff(np.frombuffer(batch.column("snippet").cast(pa.large_binary()).buffers()[1], dtype=np.int64, count=batch.num_rows + 1)))
             start = 0
@@ -354,18 +378,24 @@ def decider(length: int, most: int = 1 << 20):
     return run
 
 
-def common_masks(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, row, start, mask) of snippets of very common anchors, by grouped minima.
+def folded_common(rows: DataFrame, length: int) -> DataFrame:
+    """(snippet, folded) of the snippets of very common anchors, by grouped minima.
+
+    folded is JSON: the smallest doc of each window, and the places of the snippet. (Arrays that are
+    null in all other rows would cost more on their way to Python than the search itself.)
 
     Equal snippets are folded first, then equal windows of distinct snippets; both before a shuffle.
+    The places of a snippet are dealt to many rows by doc_id.
     """
+    deal = partitions(rows.sparkSession)
     distinct = stored(rows.groupBy("snippet").agg(F.min("doc_id").alias("least")), "span-common")
-    places = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("snippet") - (length - 1)), lambda i: F.substring("snippet", i, F.lit(length))))
-    windows = distinct.select("snippet", "least", places.alias("bit", "window"))
-    smallest = windows.groupBy("window").agg(F.min("least").alias("smallest"))
-    judged = windows.join(smallest, "window").groupBy("snippet").agg(F.array_sort(F.collect_list(F.struct("bit", "smallest"))).alias("judged"))
-    mask = F.aggregate("judged", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.when(w["smallest"] < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), w["bit"])).otherwise(0)))
-    return rows.join(judged, "snippet").select("doc_id", "row", "start", mask.alias("mask")).where("mask <> 0")
+    windows_of = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("snippet") - (length - 1)), lambda i: F.substring("snippet", i, F.lit(length))))
+    windows = distinct.select("snippet", windows_of.alias("bit", "window"), "least")
+    least = windows.groupBy("window").agg(F.min("least").alias("smallest"))
+    judged = windows.join(least, "window").groupBy("snippet").agg(F.sort_array(F.collect_list(F.struct("bit", "smallest"))).alias("judged"))
+    judged = judged.select("snippet", F.transform("judged", lambda w: w["smallest"]).alias("smallest"))
+    places = rows.groupBy("snippet", F.pmod(F.xxhash64("doc_id"), F.lit(deal)).alias("dealt")).agg(F.collect_list(F.struct("doc_id", "row", "start")).alias("places"))
+    return places.join(judged, "snippet").select("snippet", F.to_json(F.struct("smallest", "places")).alias("folded"))
 
 
 # --- documents -----------------------------------------------------------------------------------
@@ -376,10 +406,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
 
 
-def masks(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, row, start, mask): of the windows that start at `start` and after, those repeated from a smaller doc_id."""
+def masks(docs: DataFrame, copies: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, row, start, mask): of the windows that start at `start` and after, those repeated from a smaller doc_id.
+
+    Rows of `copies` are not looked at: what they hold, a smaller doc_id holds too.
+    """
     if not GRAM <= length <= GRAM + 47:
-        raise ValueError("the strings must have 16 to 63 bytes")
+        raise ValueError("the strings must have 24 to 71 bytes")
     spark = docs.sparkSession
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -388,12 +421,22 @@ def masks(docs: DataFrame, length: int = 50) -> DataFrame:
     sent = rows.select("doc_id", "text").mapInArrow(anchors(length, receivers), "receiver int, known boolean, hashes binary, owners binary, docs binary")
     met = sent.repartition(receivers // 4, "receiver").sortWithinPartitions("receiver").mapInArrow(shared, "doc_id long, anchor long, common boolean")
     by_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "common")).alias("anchors"))
-    cut = rows.join(by_doc, "doc_id").select("doc_id", "row", "text", "anchors").mapInArrow(snippets(length), "anchor long, common boolean, snippet binary, doc_id long, row long, start long")
-    cut = stored(cut, "span-snippets")
+    copied = copies.groupBy("doc_id").agg(F.collect_set("row").alias("copied"))
+    with_text = rows.join(by_doc.join(copied, "doc_id", "left"), "doc_id").where(~F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False)))
+    cut = with_text.select("doc_id", "row", "text", "anchors").mapInArrow(snippets(length), "anchor long, common boolean, snippet binary, doc_id long, row long, start long")
+    cut = stored(cut, "span-snippets", "zstd")
     plain = cut.where("not common").drop("common").repartition("anchor").sortWithinPartitions("anchor")
-    found = plain.mapInArrow(decider(length), "doc_id long, row long, start long, mask long")
-    often = cut.where("common").drop("common", "anchor")
-    return found.unionAll(common_masks(often, length))
+    folded = folded_common(cut.where("common"), length)
+    lacking = {c: F.lit(None).cast(t) for c, t in plain.dtypes if c != "snippet"}
+    both = plain.withColumn("folded", F.lit(None).cast("string")).unionByName(folded.withColumns(lacking))
+    return both.mapInArrow(decider(length), "doc_id long, row long, start long, mask long")
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, row) of the rows whose whole text a smaller doc_id has too."""
+    narrow = keyed(docs).select("doc_id", "row", F.unhex(F.md5("text")).alias("key"))
+    groups = narrow.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(narrow.join(groups, "key").where("doc_id > least").select("doc_id", "row").distinct(), "span-copies")
 
 
 def removed_bytes(size: int, starts: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
@@ -419,7 +462,9 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
             for i, marks in enumerate(batch.column("marks")):
                 raw = (texts[i].as_py() or "").encode()
                 if marks.is_valid:
-                    gone = removed_bytes(len(raw), marks.values.field("start").to_numpy(), marks.values.field("mask").to_numpy(), length)
+                    start, mask = (marks.values.field(c).to_numpy() for c in ("start", "mask"))
+                    whole = (start < 0).any()  # an exact copy
+                    gone = np.full(len(raw), len(raw) >= length) if whole else removed_bytes(len(raw), start, mask, length)
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     spans = edges.reshape(-1, 2).tolist()
                     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
@@ -429,6 +474,8 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))], names=[c.split()[0] for c in CUT.split(", ")])
 
-    marks = stored(masks(docs, length), "span-masks").groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    copies = exact_copies(docs)
+    found = stored(masks(docs, copies, length), "span-masks").unionAll(copies.selectExpr("doc_id", "row", "-1L as start", "0L as mask"))
+    marks = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     joined = keyed(docs).join(marks, ["doc_id", "row"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "marks")
     return joined.mapInArrow(run, CUT)
