@@ -14,6 +14,8 @@ null doc_id stays null. Extra columns are ignored. No tokens are dropped.
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,30 +30,58 @@ from gridtally.llm.common import stored, text_of
 from gridtally.llm.textbuf import Words, buffer_of, slices
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _KNOWN: dict = {}
+#: Words of letters that have one lower case and one normal form, with the signs that may follow.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def byte_signs() -> list[str]:
+    """The printable sign that stands for each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
 
 
 def _encoder(vocabulary: str):
     """Ids of distinct words, from the worker's memory where possible.
 
-    The vocabulary's rule cuts at white space and looks at each word alone, so the ids of a text are
-    those of its words.
+    The vocabulary's rule cuts at white space, letters and signs, and looks at each part alone, so
+    the ids of a text are those of its parts. Simple words go straight to the merges; all others
+    take the whole way.
     """
     if _KNOWN.get("vocabulary") != hash(vocabulary):
-        _KNOWN.update(vocabulary=hash(vocabulary), tokenizer=Tokenizer.from_str(vocabulary), ids={})
-    tokenizer, known = _KNOWN["tokenizer"], _KNOWN["ids"]
-
-    def ids_of(words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
+        _KNOWN.update(vocabulary=hash(vocabulary), tokenizer=Tokenizer.from_str(vocabulary), ids={}, signs=byte_signs())
+    tokenizer, known, signs = _KNOWN["tokenizer"], _KNOWN["ids"], _KNOWN["signs"]
+    merge = tokenizer.model.tokenize
+
+    def part(text: str) -> tuple[int, ...]:
+        got = known.get(text)
+        if got is None:
+            seen = text if text.isascii() else "".join(signs[b] for b in text.encode())
+            got = known[text] = tuple([t.id for t in merge(seen)])
+        return got
+
+    def ids_of(words: list[bytes]) -> list[tuple[int, ...]]:
+        if len(known) + len(words) > REMEMBERED:
             known.clear()
-            new = words
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=np.uint32)
-        return [known[w] for w in words]
+        out: list[tuple[int, ...] | None] = []
+        hard: list[tuple[int, str]] = []
+        for raw in words:
+            word = raw.decode()
+            simple = SIMPLE.fullmatch(word)
+            if simple:
+                letters, after = simple.groups()
+                out.append(part(letters.lower()) + part(after) if after else part(letters.lower()))
+            else:
+                out.append(known.get(word))
+                if out[-1] is None:
+                    hard.append((len(out) - 1, word))
+        for i in range(0, len(hard), 4096):
+            some = hard[i : i + 4096]
+            for (k, word), e in zip(some, tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False), strict=True):
+                out[k] = known[word] = tuple(e.ids)
+        return out
 
     return ids_of
 
@@ -61,8 +91,8 @@ def text_ids(data: np.ndarray, offsets: np.ndarray, ids_of, end_id: int) -> tupl
     words = Words(data, offsets)
     index, kinds = words.encoded()
     of_kind = ids_of(kinds.to_pylist())
-    size = np.array([len(x) for x in of_kind], dtype=np.int64)
-    flat = np.concatenate([*of_kind, np.zeros(0, np.uint32)])
+    size = np.fromiter(map(len, of_kind), dtype=np.int64, count=len(of_kind))
+    flat = np.fromiter(itertools.chain.from_iterable(of_kind), dtype=np.uint32, count=int(size.sum()))
     first = np.cumsum(size) - size
     count = size[index] if len(index) else np.zeros(0, np.int64)
     until = np.concatenate([[0], np.cumsum(count)])
