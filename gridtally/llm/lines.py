@@ -165,6 +165,11 @@ def _with_bitmaps(docs: DataFrame, keep: str, min_chars: int, min_docs: int) ->
     """The documents with their bitmap, or null, in column `keep`."""
     own, row, doc = (unused(docs, n) for n in ("own_row", "bitmap_row", "bitmap_doc"))
     maps = bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("keep").alias(keep))
+    maps = stored(maps, "bitmaps")
+    size = maps.limit(200_001).agg(F.count("*"), F.sum(F.octet_length(keep))).first()
+    if size[0] <= 200_000 and (size[1] or 0) <= 16 << 20:
+        # Counted to be small, so the texts stay where they are; beyond that both sides are dealt by document.
+        maps = F.broadcast(maps)
     left = docs.withColumn(own, F.xxhash64(text_of()))
     return left.join(maps, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(row)), "left").drop(doc, row, own)
 
