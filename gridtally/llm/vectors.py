@@ -8,7 +8,9 @@ cosine in double precision, block by block; a bucket gives per node the number o
 one link to the first member of its group, never the pairs. A pair that meets in several buckets is
 counted in the first of them only. Buckets with very many nodes are dealt as pairs of parts.
 
-Links are found with the recall of the tables (measured in the tests), and none is wrong.
+Larger tables need more rotations in a bucket, and then two near vectors meet in it more rarely. So
+there are as many hash tables as let `recall` of random pairs at the least cosine meet, measured on
+such pairs before the run. Links are found with that recall at any size, and none is wrong.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 those with a null label, link with nothing; so do vectors of different length; repeated rows are
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ from gridtally.llm.common import smallest_reachable, stored
 
 @dataclass(frozen=True)
 class Settings:
-    """probes: buckets of each table that a node goes into. part_rows: nodes of a part of a bucket."""
+    """tables: at least so many; more where `recall` needs them. probes: buckets of each table that a
+    node goes into. part_rows: nodes of a part of a bucket."""
 
     tables: int = 4
+    recall: float = 0.97
+    most_tables: int = 32
     probes: int = 4
     cosine: float = 0.93
     part_rows: int = 10_000
@@ -59,36 +64,69 @@ def rotations_for(nodes: int, width: int, probes: int) -> int:
 
 def buckets(x: np.ndarray, s: Settings, rotations: int) -> np.ndarray:
     """(rows, tables, probes) bucket numbers, the likeliest first. x: unit rows, padded to a power of two."""
+    return np.stack([table_buckets(x, s, rotations, table) for table in range(s.tables)], axis=1)
+
+
+def table_buckets(x: np.ndarray, s: Settings, rotations: int, table: int) -> np.ndarray:
+    """(rows, probes) bucket numbers of one table."""
     n, d = x.shape
     near = min(3, 2 * d)
-    out = np.zeros((n, s.tables, s.probes), dtype=np.int64)
-    for table in range(s.tables):
-        axes, cost = [], []
-        for k in range(rotations):
-            signs = np.random.default_rng([s.seed, table, k, d]).choice([-1.0, 1.0], size=(3, d))
-            y = x
-            for flips in signs:
-                y = hadamard(y * flips)
-            both = np.concatenate([y, -y], axis=1)
-            best = np.argpartition(-both, near - 1, axis=1)[:, :near] if near < 2 * d else np.tile(np.arange(2 * d), (n, 1))
-            value = np.take_along_axis(both, best, axis=1)
-            order = np.argsort(-value, axis=1, kind="stable")
-            best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
-            axes.append(best)
-            cost.append((value[:, :1] - value) ** 2)
-        # Combinations of near axes, the smallest summed loss first.
-        code, loss = axes[0].astype(np.int64), cost[0]
-        for a, c in zip(axes[1:], cost[1:], strict=True):
-            code = (code[:, :, None] * (2 * d) + a[:, None, :]).reshape(n, -1)
-            loss = (loss[:, :, None] + c[:, None, :]).reshape(n, -1)
-            keep = np.argsort(loss, axis=1, kind="stable")[:, : max(s.probes, 1)]
-            code, loss = np.take_along_axis(code, keep, axis=1), np.take_along_axis(loss, keep, axis=1)
-        width = min(s.probes, code.shape[1])
-        out[:, table, :width] = code[:, :width]
-        out[:, table, width:] = -1
+    out = np.full((n, s.probes), -1, dtype=np.int64)
+    axes, cost = [], []
+    for k in range(rotations):
+        signs = np.random.default_rng([s.seed, table, k, d]).choice([-1.0, 1.0], size=(3, d))
+        y = x
+        for flips in signs:
+            y = hadamard(y * flips)
+        both = np.concatenate([y, -y], axis=1)
+        best = np.argpartition(-both, near - 1, axis=1)[:, :near] if near < 2 * d else np.tile(np.arange(2 * d), (n, 1))
+        value = np.take_along_axis(both, best, axis=1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
+        axes.append(best)
+        cost.append((value[:, :1] - value) ** 2)
+    # Combinations of near axes, the smallest summed loss first.
+    code, loss = axes[0].astype(np.int64), cost[0]
+    for a, c in zip(axes[1:], cost[1:], strict=True):
+        code = (code[:, :, None] * (2 * d) + a[:, None, :]).reshape(n, -1)
+        loss = (loss[:, :, None] + c[:, None, :]).reshape(n, -1)
+        keep = np.argsort(loss, axis=1, kind="stable")[:, : max(s.probes, 1)]
+        code, loss = np.take_along_axis(code, keep, axis=1), np.take_along_axis(loss, keep, axis=1)
+    width = min(s.probes, code.shape[1])
+    out[:, :width] = code[:, :width]
     return out
 
 
+def tables_for(rotations: int, width: int, s: Settings) -> int | None:
+    """The fewest tables, s.tables at least, in which `recall` of random pairs at the least cosine meet.
+
+    None if s.most_tables are too few.
+    """
+    width = max(width, 2)
+    rng = np.random.default_rng([s.seed, width])
+    a, b = rng.normal(size=(2, max(500, min(2000, (1 << 21) // width)), width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (unit_rows([v.tobytes() for v in p]) for p in (a, s.cosine * a + math.sqrt(1 - s.cosine**2) * b))
+    met = np.zeros(len(x), dtype=bool)
+    for table in range(max(s.tables, s.most_tables)):
+        own, other = (table_buckets(v, s, rotations, table) for v in (x, y))
+        met |= ((own[:, :, None] == other[:, None, :]) & (own >= 0)[:, :, None]).any(axis=(1, 2))
+        if table + 1 >= s.tables and met.mean() >= s.recall:
+            return table + 1
+    return None
+
+
+def plan(nodes: int, width: int, s: Settings) -> tuple[Settings, int]:
+    """The settings with their number of tables, and the rotations: fewer, in larger buckets, where no tables reach the recall."""
+    for rotations in range(rotations_for(nodes, width, s.probes), 0, -1):
+        tables = tables_for(rotations, width, s)
+        if tables:
+            return replace(s, tables=tables), rotations
+    raise ValueError(f"{s.most_tables} tables do not find pairs at cosine {s.cosine}")
+
+
 def unit_rows(raw: list[bytes]) -> np.ndarray:
     """Unit vectors in double precision, padded with zeros to a power of two."""
     x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
@@ -125,12 +163,15 @@ def hasher(s: Settings, rotations: int):
                 at = np.flatnonzero(sizes == size)
                 for i in range(0, len(at), 2048):
                     some = at[i : i + 2048]
-                    found = buckets(unit_rows([raw[k] for k in some]), s, rotations)
-                    rows, table, probe = np.nonzero(found >= 0)
-                    own = pa.array(some[rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("label").take(own), pa.array(table.astype(np.int32)), pa.array(found[rows, table, probe]), batch.column("node").take(own), batch.column("n").take(own), batch.column("vector").take(own)],
-                        names=["label", "bank", "bucket", "node", "n", "vector"])
+                    x = unit_rows([raw[k] for k in some])
+                    # A batch for each table: all together could outgrow the memory.
+                    for table in range(s.tables):
+                        found = table_buckets(x, s, rotations, table)
+                        rows, probe = np.nonzero(found >= 0)
+                        own = pa.array(some[rows])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("label").take(own), pa.array(np.full(len(rows), table, np.int32)), pa.array(found[rows, probe]), batch.column("node").take(own), batch.column("n").take(own), batch.column("vector").take(own)],
+                            names=["label", "bank", "bucket", "node", "n", "vector"])
 
     return run
 
@@ -226,13 +267,12 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
 
 def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
-    s = settings
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = stored(rows.mapInArrow(_usable, "vec_id long, node binary, label string, vector binary"), "vectors")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "vector-nodes")
     # One row per label; the largest decides how fine the buckets are.
     size = nodes.groupBy("label").agg(F.count("*").alias("k"), (F.max(F.octet_length("vector")) / 8).cast("int").alias("width")).agg(F.max("k"), F.max("width")).first()
-    rotations = rotations_for(size[0] or 1, size[1] or 2, s.probes)
+    s, rotations = plan(size[0] or 1, size[1] or 2, settings)
     coded = nodes.select("label", "node", "n", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary, n long, vector binary")
     key = ["label", "bank", "bucket"]
     hot = nodes.select("label", "node", "n", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary, n long, vector binary").groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > s.part_rows)

@@ -83,6 +83,36 @@ def test_recall_of_the_tables():
         assert met > 0.9, (rotations, met)
 
 
+@pytest.mark.parametrize("rotations", [3, 4, 5, 6])
+def test_near_pairs_are_found_with_many_rotations(spark, monkeypatch, rotations):
+    """The rotations of large labels, on 1,000 pairs near the threshold."""
+    monkeypatch.setattr(vectors, "rotations_for", lambda nodes, width, probes: rotations)
+    rng = np.random.default_rng(21)
+    a = rng.normal(size=(1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near_a = 0.9302 * a + np.sqrt(1 - 0.9302**2) * b
+    rows = [(2 * k + side, v.tolist(), 0) for k in range(1000) for side, v in enumerate((a[k], near_a[k]))]
+    got = vectors.near_vectors(frame(spark, rows)).collect()
+    assert sum(r["n_links"] for r in got) > 0.95 * 2000
+    assert sum(not r["kept"] for r in got) > 0.95 * 1000
+
+
+@pytest.mark.parametrize(("nodes", "width"), [(1, 1), (10**6, 2), (10**9, 8), (10**5, 100), (10**6, 64), (10**8, 64), (10**5, 256), (10**7, 256)])
+def test_plan_reaches_the_recall(nodes, width):
+    s, rotations = vectors.plan(nodes, width, vectors.Settings())
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 1500, max(width, 2)))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (vectors.buckets(vectors.unit_rows([r.tobytes() for r in v]), s, rotations) for v in (a, 0.93 * a + np.sqrt(1 - 0.93**2) * b))
+    assert ((x[:, :, :, None] == y[:, :, None, :]) & (x >= 0)[:, :, :, None]).any(axis=(1, 2, 3)).mean() > 0.95
+    assert 1 <= rotations <= vectors.rotations_for(nodes, width, s.probes)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(vectors.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
