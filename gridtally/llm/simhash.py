@@ -215,7 +215,10 @@ def links(nodes: DataFrame, distance: int = 4, part_rows: int = 20_000) -> DataF
 
 
 def components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, row, fp, component_id) of every document: the smallest doc_id that links reach."""
+    """(doc_id, row, fp, component, component_id) of every document.
+
+    component is the smallest fingerprint that links reach, component_id the smallest doc_id.
+    """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     reach = smallest_reachable(links(nodes.select("fp"), distance))
@@ -223,8 +226,8 @@ def components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFram
     named = nodes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "fingerprint-components")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "row", "fp", "component_id")
+    by_print = named.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "row", "fp", "component", "component_id")
 
 
 def digest(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -233,11 +236,14 @@ def digest(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """One row of each component: that of its smallest doc_id. If several rows share that, one of them."""
+    """One row of each component: that of its smallest doc_id. If several rows share that, one of them.
+
+    Components that share their smallest doc_id, or that all lack one, keep a row each.
+    """
     doc, row, whole = (unused(docs, n) for n in ("kept_doc", "kept_row", "kept_whole"))
     chosen = components(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     none = F.lit(-(1 << 63))
-    kept = chosen.groupBy(F.coalesce("doc_id", none).alias(doc)).agg(F.min("row").alias(row))
+    kept = chosen.groupBy("component").agg(F.first(F.coalesce("component_id", none)).alias(doc), F.min("row").alias(row)).select(doc, row)
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), none), row: F.xxhash64(text_of())})
     # Equal rows fall into one group, which needs no further shuffle or sort after the join.
     rows = keyed.join(kept, [doc, row], "left_semi").groupBy(doc, row).agg(F.min(F.struct(*docs.columns)).alias(whole))

@@ -184,6 +184,17 @@ def test_simhash(messy, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_keeps_unrelated_texts(spark):
+    """Components without an id, or with the same smallest one, keep a row each."""
+    text = lambda k: " ".join(hashlib.md5(f"{k}-{n}".encode()).hexdigest()[:7] for n in range(60))
+    rows = [(None, text(0), "a"), (None, text(1), "a"), (None, text(1), "a"), (7, text(2), "a"), (7, text(3), "b"), (8, text(3), "a"), (None, text(3), "a"), (9, text(4), "a")]
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    assert len(set(groups_of(prints, 4))) == 5
+    kept = simhash.one_of_each(spark.createDataFrame(documents(rows), DOCS).repartition(3)).collect()
+    want = Counter([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (9, text(4))])
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == want
+
+
 def test_links_join_what_all_pairs_join(spark):
     rng = np.random.default_rng(2)
     centers = rng.integers(0, 2**63, size=40, dtype=np.uint64)
