@@ -4,7 +4,7 @@ Documents become token ids followed by an end id; only documents longer than a s
 Pieces are dealt by hash into blocks of a bounded number of pieces. Each block is packed best fit,
 longest first, and then improved: pieces are moved, exchanged one for one or two for one between
 underfull sequences whenever that raises the sum of squared fills, which drains the emptiest ones
-until they vanish or the block has as few sequences as its tokens need. What the blocks leave
+until they vanish, the block has as few sequences as its tokens need, or no such exchange is left. What the blocks leave
 underfull is packed once more together, so the total is near the least possible at any size.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed once each; a
@@ -17,7 +17,7 @@ import bisect
 import itertools
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,69 +160,112 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, moves: int = 2000) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search: drain the emptiest bin into other underfull ones while squared fill rises.
 
-    An exchange gives the fuller bin more than it takes. `moves` bounds the exchanges of a block.
+    An exchange gives the fuller bin more than it takes, so the sum of squared fills rises with each
+    and the search ends by itself: at the least possible bins, or where no exchange is left.
     """
     least = -(-sum(sizes) // capacity)
     stuck: set[int] = set()
-    while len(bins) > least and moves > 0:
-        fill = [sum(sizes[i] for i in b) for b in bins]
+    moved = False
+    kinds: list[tuple | None] = [None] * len(bins)
+    takes = None
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    while len(bins) > least:
         open_bins = [k for k in range(len(bins)) if fill[k] < capacity and k not in stuck]
         if not open_bins:
-            break
+            if not moved:
+                break
+            # What was stuck may have a move now that others have changed.
+            stuck, moved = set(), False
+            continue
         low = min(open_bins, key=lambda k: fill[k])
-        others = [k for k in range(len(bins)) if fill[k] < capacity and k != low and fill[k] >= fill[low]]
-        while bins[low] and moves > 0:
-            move = _best_move(bins, sizes, fill, low, others, capacity)
+        while bins[low]:
+            takes = takes or _takes(bins, sizes, kinds, fill, capacity)
+            move = _best_move(bins, sizes, kinds, takes, fill, low)
             if move is None:
                 break
             give, other, take = move
             bins[low] = [i for i in bins[low] if i not in give] + list(take)
             bins[other] = [i for i in bins[other] if i not in take] + list(give)
+            kinds[low] = kinds[other] = takes = None
             gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
             fill[other] += gain
             fill[low] -= gain
-            moves -= 1
+            moved = True
         if bins[low]:
             stuck.add(low)
         else:
             last = len(bins) - 1
-            bins[low] = bins[last]
-            bins.pop()
+            takes = None
+            for table in (bins, kinds, fill):
+                table[low] = table[last]
+                table.pop()
             stuck = {low if k == last else k for k in stuck if k != low}
     return bins
 
 
-def _best_move(bins, sizes, fill, low, others, capacity):
-    """(given, bin, taken) that shifts most tokens into one other bin, or None."""
+def _kinds(members: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sizes of a bin's pieces, and the distinct sums of two of them.
+
+    Distinct sizes in one bin are few, however many pieces it has: n of them need n * n / 2 tokens.
+    """
+    found = Counter(sizes[i] for i in members)
+    single = sorted(found)
+    double = {a + b for k, a in enumerate(single) for b in single[k + 1 :]} | {2 * a for a in single if found[a] > 1}
+    return np.array(single, np.int64), np.array(sorted(double), np.int64)
+
+
+def _takes(bins, sizes, kinds, fill, capacity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, pieces, size, room): all that an underfull bin could give back, none to two pieces."""
+    owners = [k for k in range(len(bins)) if fill[k] < capacity]
+    for k in owners:
+        if kinds[k] is None:
+            kinds[k] = _kinds(bins[k], sizes)
+    none = np.zeros(1, np.int64)
+    parts = [x for k in owners for x in (none, *kinds[k])]
+    owner = np.repeat(np.repeat(np.array(owners, np.int64), 3), [len(x) for x in parts])
+    count = np.repeat(np.tile(np.arange(3), len(owners)), [len(x) for x in parts])
+    return owner, count, np.concatenate(parts), capacity - np.array(fill, np.int64)[owner]
+
+
+def _members(members: list[int], sizes: list[int], total: int, count: int) -> tuple[int, ...]:
+    """`count` pieces (0 to 2) of the bin whose sizes have this sum."""
+    if not count:
+        return ()
+    seen: dict[int, int] = {}
+    for i in members:
+        if count == 1 and sizes[i] == total:
+            return (i,)
+        if count == 2 and total - sizes[i] in seen:
+            return (seen[total - sizes[i]], i)
+        seen[sizes[i]] = i
+    raise AssertionError("no such pieces")
+
+
+def _best_move(bins, sizes, kinds, takes, fill, low):
+    """(given, bin, taken) that shifts most tokens into one other bin, or None.
+
+    All choices are looked at: one piece against none, one or two, and two against one.
+    """
+    owner, count, size, room = takes
+    usable = (owner != low) & (np.array(fill, np.int64)[owner] >= fill[low])
     best, gain = None, 0
-    own = sorted(bins[low], key=lambda i: sizes[i])
-    singles = [(sizes[i], (i,)) for i in own]
-    doubles = sorted((sizes[a] + sizes[b], (a, b)) for k, a in enumerate(own[:40]) for b in own[k + 1 : 40])
-    for k in others:
-        room = capacity - fill[k]
-        if room <= gain:
+    for give, options in enumerate(kinds[low], 1):
+        at = np.flatnonzero(usable & (count == 1) if give == 2 else usable)
+        if not len(options) or not len(at):
             continue
-        inside = bins[k]
-        for give, options in ((1, singles), (2, doubles)):
-            keys = [s for s, _ in options]
-            if not keys:
-                continue
-            # Move outright, against one, and (for one given) against two.
-            takes = [(0, ())] if give == 1 else []
-            takes += [(sizes[i], (i,)) for i in inside]
-            if give == 1:
-                some = inside[:40]
-                takes += [(sizes[a] + sizes[b], (a, b)) for n, a in enumerate(some) for b in some[n + 1 :]]
-            for size, take in takes:
-                at = bisect.bisect_right(keys, size + room) - 1
-                if at >= 0 and keys[at] - size > gain:
-                    gain, best = keys[at] - size, (options[at][1], k, take)
-        if gain and gain == capacity - fill[k]:
-            break
-    return best
+        most = np.searchsorted(options, size[at] + room[at], side="right") - 1
+        shift = np.where(most >= 0, options[most] - size[at], 0)
+        top = int(shift.argmax())
+        if shift[top] > gain:
+            gain, k = int(shift[top]), int(owner[at[top]])
+            best = (int(options[most[top]]), give, k, int(size[at[top]]), int(count[at[top]]))
+    if best is None:
+        return None
+    given, give, k, taken, taking = best
+    return _members(bins[low], sizes, given, give), k, _members(bins[k], sizes, taken, taking)
 
 
 def packer(length: int, series: int):

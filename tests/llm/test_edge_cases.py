@@ -296,6 +296,31 @@ def test_local_search_empties_bins():
     assert all(sum(sizes[i] for i in b) <= 10 for b in bins) and len(bins) == 3
 
 
+def test_local_search_looks_at_every_pair():
+    """The only exchange that empties the last bin takes two pieces beyond the fortieth."""
+    # The first bin has 9 tokens of room: 36 fits against 13 and 14 alone, and those fit the second bin.
+    sizes = [10] * 41 + [13, 14] + [200, 219] + [36]
+    bins = packing.improve([list(range(43)), [43, 44], [45]], sizes, 446)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert [sum(sizes[i] for i in b) for b in bins] == [446, 446]
+
+
+def test_local_search_is_not_cut_off():
+    """Blocks of many short pieces and of pairs end with no exchange left, whatever their number of moves."""
+    rng = np.random.default_rng(6)
+    for sizes in (rng.integers(1, 60, 3000), rng.integers(900, 1800, 600), rng.integers(1, 4096, 1500)):
+        sizes = sizes.tolist()
+        # One piece a bin: thousands of moves.
+        bins = packing.improve([[i] for i in range(len(sizes))], sizes, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        assert max(fill) <= 4096
+        if len(bins) > -(-sum(sizes) // 4096):
+            kinds: list = [None] * len(bins)
+            takes = packing._takes(bins, sizes, kinds, fill, 4096)
+            assert all(packing._best_move(bins, sizes, kinds, takes, fill, low) is None for low in range(len(bins)) if fill[low] < 4096)
+
+
 # --- lines ---
 
 
