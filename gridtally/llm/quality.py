@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.llm.common import stored
 from gridtally.llm.textbuf import Words, binary_array, buffer_of, encode, line_ranges, per_text, slices
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -159,6 +160,19 @@ def sample_of(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def distinct_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
+    """(doc_id, text, y): sample_of without repeated rows, and at most per_class texts of each class if ids repeat with other texts."""
+    sample = stored(sample_of(docs, labels, target, per_class).dropDuplicates(["doc_id", "text", "y"]), "labelled-sample")
+    if all(r["count"] <= per_class for r in sample.groupBy("y").count().collect()):
+        return sample
+    # By a hash of the text first, so that no id is taken before another.
+    mark = F.xxhash64("doc_id", "text")
+    marks = sample.select(mark.alias("mark"), "doc_id", "y")
+    order = ["mark", "doc_id"]
+    chosen = marks.where("y = 0").orderBy(*order).limit(per_class).unionAll(marks.where("y = 1").orderBy(*order).limit(per_class))
+    return sample.withColumn("mark", mark).join(F.broadcast(chosen), ["mark", "doc_id", "y"], "left_semi").select("doc_id", "text", "y")
+
+
 def _vectors(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +195,7 @@ def _vectors(settings: Settings):
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on the sample; None without rows of both classes. The sample alone reaches the driver."""
-    sample = sample_of(docs, labels, "quality", settings.per_class)
+    sample = distinct_sample(docs, labels, "quality", settings.per_class)
     rows = sample.mapInArrow(_vectors(settings), "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 from itertools import pairwise
 
 import numpy as np
@@ -372,6 +373,18 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(full) - len(set(full)), len(covered)
 
 
+def test_quality_trains_on_a_bounded_sample(spark, monkeypatch):
+    """A labelled doc_id that repeats, or has many texts, brings no more rows to the driver than the sample may have."""
+    seen = []
+    monkeypatch.setattr(quality, "_fit", lambda index, value, size, y, *rest: seen.append(Counter(y.tolist())))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    few = [(1, "one poor text", "a")] * 300 + [(2, "a good text of some words", "a"), (3, "poor", "a"), (4, "good", "a")]
+    quality.train(spark.createDataFrame(documents(few), DOCS), labels, replace(quality.Settings(), per_class=5))
+    many = few + [(1, f"poor text number {k}", "a") for k in range(80)]
+    quality.train(spark.createDataFrame(documents(many), DOCS), labels, replace(quality.Settings(), per_class=5))
+    assert seen == [Counter({0: 2, 1: 2}), Counter({0: 5, 1: 2})]
+
+
 def test_quality_counts(messy, nothing, labels):
     model = quality.train(messy, labels)
     rows = quality.score(messy, model).collect()
