@@ -9,8 +9,8 @@ as one row per task and bucket.
 
 Defined results: a null text has size 0, a null source is a source (the last), a source without
 words has target 0 and its documents are taken 0 times; rows that share doc_id and text are taken
-alike; extra columns are carried by `mixed`. A budget that ends inside a document is rounded to
-the nearer side. The number of sources is taken to fit one task (one row each); rows are not.
+alike; extra columns are carried by `mixed`. A budget that ends inside a document, all equal rows
+of it together, is rounded to the nearer side. The number of sources is taken to fit one task (one row each); rows are not.
 """
 
 from __future__ import annotations
