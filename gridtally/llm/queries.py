@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import lines, mixing, packing, quality, sharding, simhash, spans, toxicity, vectors, warc
+from gridtally.llm import contamination, lines, merkle, mixing, packing, quality, sharding, simhash, spans, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"), width=16)
+
+
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_spans, op3_vectors, op4_sharding, op5_warc, op6_simhash, op7_mixing, op8_packing, op9_lines, op10_quality)
+    for f in (op1_toxicity, op2_spans, op3_vectors, op4_sharding, op5_warc, op6_simhash, op7_mixing, op8_packing, op9_lines, op10_quality,
+              op11_merkle, op13_contamination)
 }
 
+#: CRC-32 in SQL: `crc` has one list, the table of the 256 bytes; a text's bytes are folded over it.
+CRC_TABLE = """
+        crc AS (
+            SELECT list(c ORDER BY i) AS t
+            FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                  FROM range(256) AS r(i))
+        )"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, where `crc` is joined."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c // 256, t[1 + (xor(c, b) & 255)])))"
+
+
+WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 # Trained models (1, 10), a heap over groups (4), a hash that SQL lacks (6) and tokens (8) are no SQL.
 ORACLES = {
     "op2_spans": """
@@ -175,4 +203,74 @@ ORACLES = {
                CAST(d.size * (r.base + CASE WHEN r.source_size > 0 AND d.hash <= c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM sized d JOIN rest r ON d.source IS NOT DISTINCT FROM r.source JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE {CRC_TABLE}, cells AS (
+            SELECT row_number() OVER () AS r, doc_id, text, coalesce('1' || source, '0') AS g,
+                   coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+            FROM documents
+        ), texts AS (
+            SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0
+                           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS found
+            FROM cells, crc
+        ), leaves AS (
+            SELECT r, doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(octet_length(encode(found)) || ':' || found, '-')) AS changed
+            FROM texts
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves
+        ), tree(lvl, g, pos, n, node) AS (
+            SELECT 0, g, pos, n, leaf FROM placed
+            UNION ALL
+            SELECT lvl + 1, g, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lvl, g, pos // 16, n
+        ), subroots AS (
+            SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+        ), top(lvl, pos, n, node) AS (
+            SELECT 0, pos, n, subroot FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n
+        ), nodes AS (
+            SELECT p.r, t.lvl, t.pos, t.node, CAST(p.pos // CAST(pow(16, t.lvl) AS BIGINT) AS BIGINT) AS own
+            FROM placed p JOIN tree t ON t.g = p.g AND t.n > 1 AND t.pos // 16 = p.pos // CAST(pow(16, t.lvl + 1) AS BIGINT)
+            UNION ALL
+            SELECT p.r, 100 + t.lvl, t.pos, t.node, CAST(s.pos // CAST(pow(16, t.lvl) AS BIGINT) AS BIGINT) AS own
+            FROM placed p JOIN subroots s ON s.g = p.g JOIN top t ON t.n > 1 AND t.pos // 16 = s.pos // CAST(pow(16, t.lvl + 1) AS BIGINT)
+        ), steps AS (
+            SELECT r, row_number() OVER (PARTITION BY r ORDER BY lvl) AS step, coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE pos < own), '') AS l,
+                   coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE pos > own), '') AS r_
+            FROM nodes GROUP BY r, lvl
+        ), proofs AS (
+            SELECT r, sha256(string_agg(l || r_, '' ORDER BY step)) AS proof, max(step) AS last FROM steps GROUP BY r
+        ), fold(r, step, node) AS (
+            SELECT r, CAST(0 AS BIGINT), changed FROM leaves
+            UNION ALL
+            SELECT f.r, s.step, sha256(s.l || f.node || s.r_) FROM fold f JOIN steps s ON s.r = f.r AND s.step = f.step + 1
+        )
+        SELECT p.doc_id, p.leaf, s.subroot, (SELECT node FROM top WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.node AS folded_root,
+               f.node = (SELECT node FROM top WHERE n = 1) AS verified
+        FROM placed p JOIN subroots s USING (g) LEFT JOIN proofs q ON q.r = p.r JOIN fold f ON f.r = p.r AND f.step = coalesce(q.last, 0)
+    """,
+    "op13_contamination": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents
+        ), items AS (
+            SELECT item_id, {WORDS_SQL} AS w FROM benchmark
+        ), phrases AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j : j + 9], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS j FROM items WHERE len(w) > 0)
+        ), runs AS (
+            SELECT r, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)
+        ), found AS (
+            SELECT DISTINCT u.r, u.s, u.n, p.item_id FROM runs u JOIN phrases p ON p.n = u.n AND p.phrase = u.phrase
+        ), hit AS (
+            SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS pos FROM found) GROUP BY r
+        ), named AS (
+            SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+               sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN hit h USING (r) LEFT JOIN named i USING (r)
+    """,
 }
