@@ -173,8 +173,8 @@ def near_matches(index: Index, asked: Phrases, within: int = 20) -> DataFrame:
         hit = spread.join(lists.select("row", "term", "pos", stretch.alias("s")), ["row", "term", "s"]).where(close)
         return hit.select("row", "wid", "at", "term").distinct()
 
-    second = left.where(F.size("others") > 0).withColumn("term", F.col("others")[0])
-    lists = index.postings.join(small(terms.where(F.size("others") > 0).select(F.col("others")[0].alias("term")).distinct()), "term", "left_semi")
+    second = left.where(F.size("others") > 0).withColumn("term", F.get("others", F.lit(0)))
+    lists = index.postings.join(small(terms.where(F.size("others") > 0).select(F.get("others", F.lit(0)).alias("term")).distinct()), "term", "left_semi")
     some = stored(beside(second.select("row", "wid", "at", "term"), lists).drop("term"), "near-candidates")
     rest = some.join(small(terms.select("wid", F.slice("others", 2, 1 << 20).alias("rest")), rows=50_000), "wid")
     done = done.unionAll(rest.where(F.size("rest") == 0).select("row", "wid", F.col("at").alias("pos")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtally.llm import contamination, lines, merkle, mixing, packing, quality, sharding, simhash, spans, toxicity, vectors, warc
+from gridtally.llm import contamination, lines, merkle, mixing, packing, quality, resampling, sharding, simhash, spans, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"), width=16)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -65,7 +69,7 @@ def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_spans, op3_vectors, op4_sharding, op5_warc, op6_simhash, op7_mixing, op8_packing, op9_lines, op10_quality,
-              op11_merkle, op13_contamination)
+              op11_merkle, op12_resampling, op13_contamination)
 }
 
 #: CRC-32 in SQL: `crc` has one list, the table of the 256 bytes; a text's bytes are folded over it.
@@ -250,6 +254,41 @@ ORACLES = {
                f.node = (SELECT node FROM top WHERE n = 1) AS verified
         FROM placed p JOIN subroots s USING (g) LEFT JOIN proofs q ON q.r = p.r JOIN fold f ON f.r = p.r AND f.step = coalesce(q.last, 0)
     """,
+    "op12_resampling": f"""
+        WITH {CRC_TABLE}, docs AS (
+            SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents
+        ), items AS (
+            SELECT {WORDS_SQL} AS w FROM benchmark
+        ), doc_features AS (
+            SELECT r, array_to_string(w[i : i + k - 1], ' ') AS f
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+        ), item_features AS (
+            SELECT array_to_string(w[i : i + k - 1], ' ') AS f
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+        ), hashed AS (
+            SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT f FROM doc_features UNION SELECT f FROM item_features), crc
+        ), buckets AS (
+            SELECT b.bucket, coalesce(s.n, 0) AS s, coalesce(t.n, 0) AS t
+            FROM (SELECT unnest(range(10000)) AS bucket) b
+            LEFT JOIN (SELECT bucket, count(*) AS n FROM doc_features JOIN hashed USING (f) GROUP BY bucket) s USING (bucket)
+            LEFT JOIN (SELECT bucket, count(*) AS n FROM item_features JOIN hashed USING (f) GROUP BY bucket) t USING (bucket)
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+                                                / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+            FROM buckets
+        ), weights AS (
+            SELECT r, count(*) AS n, sum(gain) AS weight FROM doc_features JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT d.r, d.doc_id, len(d.w) AS n_words, coalesce(w.n, 0) AS n_features, CAST(coalesce(w.weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(w.weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)
+                                                                    / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+            FROM docs d LEFT JOIN weights w USING (r)
+        ), ranked AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+        )
+        SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN k.rank <= 5 * k.n // 100 THEN k.rank END AS rank
+        FROM scored s LEFT JOIN ranked k USING (r)
+    """,
     "op13_contamination": f"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents

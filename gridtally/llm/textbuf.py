@@ -52,8 +52,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, int]:
 class Words:
     """Words of the texts: byte range, text index and per-text counts; ids are equal for equal words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        inside = ~SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> None:
+        inside = ~space[data]
         first, last = inside.copy(), inside.copy()
         if len(data):
             edge = np.zeros(len(data) + 1, dtype=bool)
