@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,26 @@ def new_uri(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark, '/tmp/gridtally').rstrip('/')}/llm-{name}-{uuid.uuid4()}"
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Batches of at most `rows` rows go to Python meanwhile: texts of ten thousand rows are too much for a worker."""
+    before = spark.conf.get(_BATCH_ROWS)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table: a lost executor costs no more than the step that was running."""
     uri = new_uri(df.sparkSession, name)
-    df.write.parquet(uri, compression=compression)
+    with short_batches(df.sparkSession):
+        df.write.parquet(uri, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
@@ -30,6 +48,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever signs these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with other names for columns whose names hold dots or back-ticks, which tasks in Python cannot be given."""
+    return df.toDF(*(unused(df, f"column_{i}") if {".", "`"} & set(n) else n for i, n in enumerate(df.columns)))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import partitions, stored, text_of, unused
-from gridtally.llm.textbuf import buffer_of, line_ranges, slices
+from gridtally.llm.common import partitions, plainly_named, stored, text_of, unused
+from gridtally.llm.textbuf import buffer_of, line_ranges, slices, tidied
 
 STRIPPED = bytes([32, 9, 10, 11, 12, 13])
 #: Stands for a null doc_id in the sorted rows.
@@ -125,16 +125,16 @@ def bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFram
     first. Lines beyond its end stay, and so do all lines of a document without a bitmap."""
     spark = docs.sparkSession
     narrow = identified(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "row", "text")
-    keys = stored(narrow.mapInArrow(line_keys(min_chars), "line binary, doc_id long, row long, pos int"), "lines")
+    keys = stored(narrow.mapInArrow(tidied(line_keys(min_chars)), "line binary, doc_id long, row long, pos int"), "lines")
     ordered = keys.repartitionByRange(partitions(spark), "line", F.desc("doc_id")).sortWithinPartitions("line", F.desc("doc_id"), "row", "pos")
-    decided = stored(ordered.mapInArrow(stream(min_docs), "kind int, line binary, doc_id long, row long, pos int, n long"), "line-decisions")
+    decided = stored(ordered.mapInArrow(tidied(stream(min_docs)), "kind int, line binary, doc_id long, row long, pos int, n long"), "line-decisions")
     # Two rows per partition at most.
     across = decided.where("kind = 2").groupBy("line").agg(F.max("doc_id").alias("top"), F.sum("n").alias("docs"))
     open_rows = decided.where("kind = 1").join(F.broadcast(across.where(F.col("docs") >= min_docs)), "line").where("doc_id <> top")
     dropped = decided.where("kind = 0").select("doc_id", "row", "pos").unionAll(open_rows.select("doc_id", "row", "pos"))
     # Rows repeated in the input give the same position more than once.
     by_row = dropped.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("pos"))
-    packed = by_row.mapInArrow(_pack, "doc_id long, row long, n_dropped long, keep binary")
+    packed = by_row.mapInArrow(tidied(_pack), "doc_id long, row long, n_dropped long, keep binary")
     return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -176,6 +176,7 @@ def _with_bitmaps(docs: DataFrame, keep: str, min_chars: int, min_docs: int) ->
 
 def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with their remaining lines; other columns as they were, but n_chars follows the text."""
+    given, docs = docs.columns, plainly_named(docs)
     names, at, keep = docs.columns, docs.columns.index("text"), unused(docs, "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +184,10 @@ def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
             texts = [t if k is None or t is None else kept_text(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if i == at else batch.column(n) for i, n in enumerate(names)], names=names)
 
-    out = _with_bitmaps(docs, keep, min_chars, min_docs).mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length(text_of()).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = _with_bitmaps(docs, keep, min_chars, min_docs).mapInArrow(tidied(run), docs.schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.char_length(text_of()).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*given)
 
 
 def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -201,4 +204,4 @@ def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_bitmaps(slim, "keep", min_chars, min_docs).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(slim, "keep", min_chars, min_docs).mapInArrow(tidied(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import small, stored, text_of, unused, words_in
+from gridtally.llm.common import quoted, small, stored, text_of, unused, words_in
 
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash, and of each refinement.
@@ -114,4 +114,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     plan = _planned(sizes, weights, share, most).select(F.col("source").alias(source), F.col("base").alias(base), F.col("threshold").alias(to))
     rows = docs.withColumn(own, hash_of()).join(small(plan), F.col("source").eqNullSafe(F.col(source)))
     times = F.col(base) + (F.col(own) <= F.col(to)).cast("long")
-    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*quoted(docs.columns))

@@ -14,8 +14,12 @@ null doc_id stays null. Extra columns are ignored. No tokens are dropped.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import itertools
+import json
 import re
+import sys
+import types
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridtally.llm.common import stored, text_of
-from gridtally.llm.textbuf import Words, buffer_of, slices
+from gridtally.llm.textbuf import Words, buffer_of, slices, tidied
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
-_KNOWN: dict = {}
+#: Bytes of words and ids that a worker remembers; beyond that it starts anew.
+REMEMBERED = 48 << 20
+#: Longer words are not remembered.
+LONGEST = 64
 #: Words of letters that have one lower case and one normal form, with the signs that may follow.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -43,28 +48,64 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
 
 
-def _encoder(vocabulary: str):
+# The rules of vocabularies in which each word between white space stands for itself.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+class Memory:
+    """A parsed vocabulary and the ids of words met so far, bounded in bytes."""
+
+    def __init__(self, vocabulary: str, limit: int = REMEMBERED) -> None:
+        rules = json.loads(vocabulary)
+        self.wordwise = all(rules.get(k) == v for k, v in WORDWISE.items()) and not any(t["content"].split() != [t["content"]] for t in rules["added_tokens"])
+        self.key = hashlib.sha256(vocabulary.encode()).hexdigest()
+        self.tokenizer, self.signs = Tokenizer.from_str(vocabulary), byte_signs()
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.bytes, self.limit = 0, limit
+
+    def keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= LONGEST:
+            # A text, a tuple and its numbers, and their place in the dictionary.
+            size = 240 + len(text) + 36 * len(ids)
+            if self.bytes + size > self.limit:
+                self.ids.clear()
+                self.bytes = 0
+            self.ids[text] = ids
+            self.bytes += size
+        return ids
+
+
+def worker_memory(vocabulary: str) -> Memory:
+    """The memory of this worker process: tasks are unpickled anew, so it hangs where they all find it."""
+    holder = sys.modules.setdefault("_packing_memory", types.ModuleType("_packing_memory"))
+    known = getattr(holder, "memory", None)
+    if known is None or known.key != hashlib.sha256(vocabulary.encode()).hexdigest():
+        known = holder.memory = Memory(vocabulary)
+    return known
+
+
+def _encoder(memory: Memory):
     """Ids of distinct words, from the worker's memory where possible.
 
     The vocabulary's rule cuts at white space, letters and signs, and looks at each part alone, so
     the ids of a text are those of its parts. Simple words go straight to the merges; all others
     take the whole way.
     """
-    if _KNOWN.get("vocabulary") != hash(vocabulary):
-        _KNOWN.update(vocabulary=hash(vocabulary), tokenizer=Tokenizer.from_str(vocabulary), ids={}, signs=byte_signs())
-    tokenizer, known, signs = _KNOWN["tokenizer"], _KNOWN["ids"], _KNOWN["signs"]
-    merge = tokenizer.model.tokenize
+    tokenizer, known, signs, merge = memory.tokenizer, memory.ids, memory.signs, memory.tokenizer.model.tokenize
 
     def part(text: str) -> tuple[int, ...]:
         got = known.get(text)
         if got is None:
             seen = text if text.isascii() else "".join(signs[b] for b in text.encode())
-            got = known[text] = tuple([t.id for t in merge(seen)])
+            got = memory.keep(text, tuple([t.id for t in merge(seen)]))
         return got
 
     def ids_of(words: list[bytes]) -> list[tuple[int, ...]]:
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
         out: list[tuple[int, ...] | None] = []
         hard: list[tuple[int, str]] = []
         for raw in words:
@@ -80,12 +121,19 @@ def _encoder(vocabulary: str):
         for i in range(0, len(hard), 4096):
             some = hard[i : i + 4096]
             for (k, word), e in zip(some, tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False), strict=True):
-                out[k] = known[word] = tuple(e.ids)
+                out[k] = memory.keep(word, tuple(e.ids))
         return out
 
     return ids_of
 
 
+def whole_text_ids(texts: list[str], tokenizer: Tokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `text_ids`, for a vocabulary whose rules look across words."""
+    ids = [[*e.ids, end_id] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    at = np.cumsum([0, *map(len, ids)])
+    return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(at[-1])), at
+
+
 def text_ids(data: np.ndarray, offsets: np.ndarray, ids_of, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end id, and the n + 1 offsets of the texts in them."""
     words = Words(data, offsets)
@@ -103,10 +151,14 @@ def text_ids(data: np.ndarray, offsets: np.ndarray, ids_of, end_id: int) -> tupl
 
 def cutter(vocabulary: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(vocabulary)
+        memory = worker_memory(vocabulary)
+        ids_of = _encoder(memory)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, at = text_ids(*buffer_of(part.column("text")), ids_of, end_id)
+                if memory.wordwise:
+                    ids, at = text_ids(*buffer_of(part.column("text")), ids_of, end_id)
+                else:
+                    ids, at = whole_text_ids(part.column("text").to_pylist(), memory.tokenizer, end_id)
                 n = -(-np.diff(at) // length)
                 row = np.repeat(np.arange(part.num_rows), n)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -133,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, length: int = 4096, end_id: in
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(cutter(vocabulary, length, end_id, with_ids), PIECE + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidied(cutter(vocabulary, length, end_id, with_ids)), PIECE + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -273,7 +325,7 @@ def packer(length: int, series: int):
 
     def run(table: pa.Table) -> pa.Table:
         # The order must not depend on how rows arrive.
-        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", *(c for c in table.column_names if c == "mark"))])
         sizes = table.column("length").to_pylist()
         bins = improve(best_fit(sizes, length), sizes, length)
         sequence, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
@@ -294,10 +346,11 @@ def packer(length: int, series: int):
 
 
 def _round(rows: DataFrame, count: int, length: int, block_rows: int, series: int) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     blocks = max(1, -(-count // block_rows))
     # Equal rows go apart by a number of their own, so no row is too frequent for one block.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    return stored(dealt.groupBy("block").applyInArrow(packer(length, series), PIECE + ", sequence_id long, offset long, fill long"), "packed")
+    return stored(dealt.groupBy("block").applyInArrow(packer(length, series), schema + ", sequence_id long, offset long, fill long"), "packed")
 
 
 def pack(found: DataFrame, length: int = 4096, block_rows: int = 5_000) -> DataFrame:
@@ -324,9 +377,11 @@ def packed(docs: DataFrame, vocabulary_path: str, length: int = 4096, end_id: in
 
 def sequences(docs: DataFrame, vocabulary_path: str, length: int = 4096, end_id: int = 1) -> DataFrame:
     """(sequence_id, ids): the packed sequences themselves, at most `length` ids each."""
-    with_ids = stored(pieces(docs, vocabulary_path, length, end_id, with_ids=True), "pieces-ids")
+    # Pieces that agree in all this hold the same ids, so any of them may lie in any of their places.
+    names = ["doc_id", "piece", "length", "ids_crc32", "mark"]
+    with_ids = stored(pieces(docs, vocabulary_path, length, end_id, with_ids=True).withColumn("mark", F.xxhash64("ids")), "pieces-ids")
     places = pack(with_ids.drop("ids"), length)
-    text = with_ids.select("doc_id", "piece", "length", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "length", "ids_crc32"])
-    keys = [places[c].eqNullSafe(text[c]) for c in ("doc_id", "piece", "length", "ids_crc32")]
+    text = with_ids.select(*names, "ids").dropDuplicates(names)
+    keys = [places[c].eqNullSafe(text[c]) for c in names]
     rows = places.join(text, keys).select("sequence_id", F.struct("offset", "ids").alias("part"))
     return rows.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("ids"))

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored
-from gridtally.llm.textbuf import Words, binary_array, buffer_of, encode, line_ranges, per_text, slices
+from gridtally.llm.common import plainly_named, stored
+from gridtally.llm.textbuf import Words, binary_array, buffer_of, encode, line_ranges, per_text, slices, tidied
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -196,7 +196,7 @@ def _vectors(settings: Settings):
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on the sample; None without rows of both classes. The sample alone reaches the driver."""
     sample = distinct_sample(docs, labels, "quality", settings.per_class)
-    rows = sample.mapInArrow(_vectors(settings), "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    rows = sample.mapInArrow(tidied(_vectors(settings)), "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -251,12 +251,11 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 def score(docs: DataFrame, model: Model | None, settings: Settings = Settings()) -> DataFrame:
     """The rows of SCORED, one per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scorer(model, settings), SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(scorer(model, settings)), SCORED)
 
 
 def filtered(docs: DataFrame, model: Model | None, settings: Settings = Settings()) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer(model, settings)
@@ -265,4 +264,5 @@ def filtered(docs: DataFrame, model: Model | None, settings: Settings = Settings
                 kept = next(judge(iter([part.select(["doc_id", "text"])]))).column("kept")
                 yield part.filter(kept)
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    plain = plainly_named(docs)
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*docs.columns)

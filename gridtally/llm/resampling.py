@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored, text_of
+from gridtally.llm.common import short_batches, stored, text_of
 from gridtally.llm.ranks import ranked
-from gridtally.llm.textbuf import Words, buffer_of, slices
+from gridtally.llm.textbuf import Words, buffer_of, slices, tidied
 
 #: Bytes outside words, after A-Z are lower-cased: all ASCII but digits and a-z.
 OUTSIDE = np.zeros(256, dtype=bool)
@@ -143,8 +143,9 @@ def counter(settings: Settings):
 
 def bucket_counts(texts: DataFrame, settings: Settings) -> np.ndarray:
     """Features of all texts by bucket. The driver gets one row for each bucket, however many texts there are."""
-    parts = texts.select(text_of().alias("text")).mapInArrow(counter(settings), "bucket long, n long")
-    found = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    parts = texts.select(text_of().alias("text")).mapInArrow(tidied(counter(settings)), "bucket long, n long")
+    with short_batches(texts.sparkSession):
+        found = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(settings.buckets, dtype=np.int64)
     total[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return total
@@ -192,7 +193,7 @@ def scores(docs: DataFrame, target: DataFrame, settings: Settings = Settings())
     """(doc_id, n_words, n_features, weight, score) of every document; both tables have a column text."""
     gains = gains_of(bucket_counts(docs, settings), bucket_counts(target, settings))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(scorer(gains, settings), "doc_id long, n_words long, n_features long, weight long, score long")
+    return rows.mapInArrow(tidied(scorer(gains, settings)), "doc_id long, n_words long, n_features long, weight long, score long")
 
 
 def cutoff(rows: DataFrame, k: int, n: int, k_sketch: int = 200) -> tuple[int, int | None]:

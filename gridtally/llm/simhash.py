@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import smallest_reachable, stored, text_of, unused
-from gridtally.llm.textbuf import Words, buffer_of, slices
+from gridtally.llm.common import quoted, smallest_reachable, stored, text_of, unused
+from gridtally.llm.textbuf import Words, buffer_of, slices, tidied
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -77,7 +77,7 @@ def fingerprinter(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, row, fp): fp is the fingerprint as a signed long; row tells rows apart that share a doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
-    return rows.mapInArrow(fingerprinter(shingle), "doc_id long, row long, fp long")
+    return rows.mapInArrow(tidied(fingerprinter(shingle)), "doc_id long, row long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def links(nodes: DataFrame, distance: int = 4, part_rows: int = 20_000) -> DataF
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
         cells = joined.select("fp", "mask", "cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
     dealt = cells.select("mask", "cell", "part", "fp").repartition("mask", "cell", "part").sortWithinPartitions("mask", "cell", "part")
-    return dealt.mapInArrow(cell_links(distance), "a long, b long")
+    return dealt.mapInArrow(tidied(cell_links(distance)), "a long, b long")
 
 
 def components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -245,6 +245,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     none = F.lit(-(1 << 63))
     kept = chosen.groupBy("component").agg(F.first(F.coalesce("component_id", none)).alias(doc), F.min("row").alias(row)).select(doc, row)
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), none), row: F.xxhash64(text_of())})
+    # The other columns as text, as not all kinds of column have an order.
+    order = F.struct(text_of(), F.to_json(F.struct(F.lit(0).alias("none"), *quoted([c for c in docs.columns if c not in ("doc_id", "text")]))))
     # Equal rows fall into one group, which needs no further shuffle or sort after the join.
-    rows = keyed.join(kept, [doc, row], "left_semi").groupBy(doc, row).agg(F.min(F.struct(*docs.columns)).alias(whole))
-    return rows.select(*(F.col(whole)[c].alias(c) for c in docs.columns))
+    rows = keyed.join(kept, [doc, row], "left_semi").groupBy(doc, row).agg(F.min_by(F.struct(*quoted(docs.columns)), order).alias(whole))
+    return rows.select(*(F.col(whole).getField(c).alias(c) for c in docs.columns))

@@ -11,6 +11,7 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from tokenizers import Tokenizer
 
@@ -396,3 +397,52 @@ def test_quality_counts(messy, nothing, labels):
     assert quality.train(messy, labels.limit(0)) is None
     kept = quality.filtered(messy, None)
     assert kept.columns == messy.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.score(messy, None).where("kept").collect()}
+
+
+# --- memory of packing workers ---
+
+
+def _words(seed, n=20_000):
+    rng = np.random.default_rng(seed)
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, 9)).encode() for _ in range(n)]
+
+
+def test_packing_memory_is_one_per_worker_and_bounded(monkeypatch):
+    """A task unpickled time and again finds the same memory, and words never met before do not make it grow."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    vocabulary = open(PATH, encoding="utf-8").read()
+    sys.modules.pop("_packing_memory", None)
+    packed_task = cloudpickle.dumps(packing.cutter(vocabulary, 4096, 1, False))
+    seen, first = set(), None
+    for turn in range(10):
+        task = cloudpickle.loads(packed_task)
+        batch = pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([b" ".join(_words(turn)).decode()])], names=["doc_id", "text"])
+        assert sum(b.num_rows for b in task(iter([batch]))) > 0
+        memory = sys.modules["_packing_memory"].memory
+        seen.add(id(memory))
+        assert memory.bytes <= memory.limit
+        first = first or memory
+    assert len(seen) == 1 and len(first.ids) >= 20_000
+    small = packing.Memory(vocabulary, limit=1 << 20)
+    ids_of, tokenizer = packing._encoder(small), Tokenizer.from_file(PATH)
+    for turn in range(5):
+        words = _words(100 + turn, 5_000) + [b"Caf\xc3\xa9!", b"x" * 5_000, "漢字".encode(), b"it's"]
+        assert ids_of(words) == [tuple(tokenizer.encode(w.decode(), add_special_tokens=False).ids) for w in words]
+        assert small.bytes <= 1 << 20 and all(len(w) <= packing.LONGEST for w in small.ids)
+
+
+def test_packing_with_a_vocabulary_of_other_rules(messy):
+    """Rules that look across words are given whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.Memory(open(path, encoding="utf-8").read()).wordwise and packing.Memory(open(PATH, encoding="utf-8").read()).wordwise
+    tokenizer = Tokenizer.from_file(path)
+    got = Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pieces(messy, path).collect())
+    want = Counter()
+    for i, t, _ in MESSY:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for k in range(0, len(ids), 4096):
+            want[i, k // 4096, zlib.crc32(ids[k : k + 4096].tobytes())] += 1
+    assert got == want

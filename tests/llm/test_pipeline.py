@@ -117,3 +117,18 @@ def test_pipeline_carries_odd_rows(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in out} <= {i for i, _, _ in rows} and len(out) > 10
     assert_packed(out)
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark, folder):
+    """Dots and back-ticks in names, maps, arrays and columns of nothing pass every stage."""
+    text = lambda k: " ".join(hashlib.md5(f"{k}-{n}".encode()).hexdigest()[:7] for n in range(60 + k))
+    base = spark.createDataFrame(documents([(k % 9, text(k % 9), "a") for k in range(12)]), DOCS)
+    docs = base.selectExpr("*", "doc_id as `a.b`", "'x' as `tick``ed`", "map('k', doc_id) as m", "array(map(1, text)) as ms", "null as nothing", "struct(text as `c.d`) as s")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        rows = function(spark, rows, folder)
+        assert rows.schema.names == docs.schema.names, name
+        for r in rows.collect():
+            assert r["a.b"] == r["doc_id"] and r["tick`ed"] == "x" and r["m"] == {"k": r["doc_id"]} and r["nothing"] is None, name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() == rows.count() > 0
