@@ -1,16 +1,20 @@
 """Raw CSV files to a typed Parquet table, with a file inventory and messages.
 
-The CSV text is read once. The write of the typed table also counts malformed records
-(an observed metric); only when there are any is the text read again to name their files.
-Row counts and parse warnings per file come from the written Parquet table.
+The CSV text is read once. The write of the typed table also gathers the names of the files with
+malformed records (an observed metric of that write, a list of files and never of rows). Where such
+files fail, readers of the written table leave them out by name; the text is not read again. Row counts
+and parse warnings per file come from the written Parquet table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +47,7 @@ INVENTORY = T.StructType(
         T.StructField("duplicate_policy_mode", T.StringType()),
     ]
 )
+Result = TypeVar("Result")
 MESSAGES = "dataset string, severity string, message string"
 
 
@@ -96,6 +101,7 @@ def malformed_files(frame: DataFrame) -> list[str]:
     return [r[0] for r in frame.where(F.col(MALFORMED)).select(SOURCE_FILE).distinct().collect()]
 
 
+# Messages of the ingest, here and below.
 _MALFORMED_REASON = "Error tokenizing data: a record has more fields than the header"
 
 
@@ -122,21 +128,36 @@ def quarantined_rows(spark: SparkSession, spec: DatasetSpec, files: Sequence[Raw
     return None if frame is None else frame.where(F.col(MALFORMED)).drop(MALFORMED)
 
 
+def _without_files(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of all other files. The names are a local list: a small one is a literal filter, a larger one a join."""
+    if not names:
+        return table
+    if len(names) <= 100:
+        return table.where(~F.col(SOURCE_FILE).isin(*names))
+    listed = table.sparkSession.createDataFrame([(n,) for n in names], f"{SOURCE_FILE} string")
+    return table.join(F.broadcast(listed) if len(names) <= 200_000 else listed, SOURCE_FILE, "left_anti").select(*table.columns)
+
+
 def _write(
     raw: RawTable, spark: SparkSession, uri: str, partition_by: str | None = None
-) -> tuple[RawTable, T.StructType, bool, str]:
-    """Write the good rows; on malformed records name their files and write again without them."""
+) -> tuple[RawTable, T.StructType, bool, str, list[str]]:
+    """Write the good records of all files in one pass over their text.
+
+    Returns the files that did not fail, and the names of those that did: records of theirs that
+    are good by themselves were written too, so whoever reads the table leaves these files out.
+    """
     frame = raw.frame(spark)
     if frame is None:
         empty = spark.createDataFrame([], raw.spec.struct_type())
-        return raw, empty.schema, *write_parquet(empty, uri, partition_by)
+        return raw, empty.schema, *write_parquet(empty, uri, partition_by), []
     seen = Observation(f"malformed-{uuid.uuid4()}")
-    watched = frame.observe(seen, F.count_if(F.col(MALFORMED)).alias("n"))
+    watched = frame.observe(seen, F.collect_set(F.when(F.col(MALFORMED), F.col(SOURCE_FILE))).alias("files"))
     good = watched.where(~F.col(MALFORMED)).drop(MALFORMED)
     ok, text = write_parquet(good, uri, partition_by)
-    if not ok or raw.spec.malformed_policy != "fail_file" or not seen.get["n"]:
-        return raw, good.schema, ok, text
-    return _write(raw.without(malformed_files(frame), _MALFORMED_REASON), spark, uri, partition_by)
+    if not ok or raw.spec.malformed_policy != "fail_file":
+        return raw, good.schema, ok, text, []
+    bad = sorted(seen.get["files"])
+    return raw.without(bad, _MALFORMED_REASON), good.schema, ok, text, bad
 
 
 def _per_file(table: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -202,18 +223,22 @@ def persist_dataset(
     mode = resolve_duplicate_policy(spec.duplicate_policy)
     dropping = mode in ("drop_first", "drop_last")
     raw = open_files(spark, spec, files)
-    if dropping:
-        stage = f"{shared_folder(spark, uri.rstrip('/') + '_stage')}/stage-{spec.name}-{uuid.uuid4()}"
-        raw, schema, ok, text = _write(raw, spark, stage)
-    else:
-        stage = uri
-        raw, schema, ok, text = _write(raw, spark, uri, partition_by)
+    place = f"{shared_folder(spark, uri.rstrip('/') + '_stage')}/stage-{spec.name}"
+    stage = f"{place}-{uuid.uuid4()}" if dropping else uri
+    raw, schema, ok, text, bad = _write(raw, spark, stage, None if dropping else partition_by)
     notes = [message(spec.name, f"Failed to read {f.name}: {why}") for f, why in sorted(raw.failures.items())]
     if not ok:
         return Ingested(spec, spark.createDataFrame([], spec.struct_type()), uri,
                         file_inventory(spark, raw, None), [*notes, message(spec.name, text)], False)
     # The schema is given: a month such as 2026-01 as partition value would be read as a date.
-    staged = spark.read.schema(schema).parquet(stage)
+    staged = _without_files(spark.read.schema(schema).parquet(stage), bad)
+    if bad and not dropping:
+        # The table holds records of failed files: the others move aside as Parquet and back again.
+        aside = f"{place}-{uuid.uuid4()}"
+        ok, text = write_parquet(staged, aside)
+        staged = spark.read.schema(schema).parquet(aside)
+        if ok:
+            ok, text = write_parquet(staged, uri, partition_by)
     inventory = file_inventory(spark, raw, staged)
     rows = staged.count()
     if not raw.headers:
@@ -240,12 +265,49 @@ def persist_dataset(
     return Ingested(spec, spark.read.schema(schema).parquet(uri) if ok else staged, uri, inventory, notes, ok)
 
 
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], Result]], most: int = 8) -> dict[str, Result | Exception]:
+    """Results of independent jobs that run at the same time, each in a scheduler pool of its own.
+
+    A job that fails gives its exception as its result; the others go on.
+    """
+
+    def run(name: str) -> Result | Exception:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return jobs[name]()
+        except Exception as error:  # the caller sees which job failed and why
+            return error
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=min(most, max(len(jobs), 1))) as pool:
+        # Each thread inherits the local properties of the caller, as its jobs would without threads.
+        running = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in jobs}
+        return {name: future.result() for name, future in running.items()}
+
+
+def failed_dataset(spark: SparkSession, spec: DatasetSpec, uri: str, error: Exception) -> Ingested:
+    """What is left of a dataset whose ingest broke off: no rows, and a message that says why."""
+    text = str(error).strip().split("\n", 1)[0] or type(error).__name__
+    empty = spark.createDataFrame([], spec.struct_type())
+    return Ingested(spec, empty, uri, spark.createDataFrame([], INVENTORY), [message(spec.name, f"Failed to ingest {spec.name}: {text}")], False)
+
+
 def ingest_and_persist(
     spark: SparkSession, specs: Sequence[DatasetSpec], raw_uri: str, out_uri: str
 ) -> dict[str, Ingested]:
-    """Discover, ingest and persist every dataset: `<out_uri>/<dataset>.parquet`."""
-    found = discover(spark, raw_uri, specs)
-    return {s.name: persist_dataset(spark, s, found[s.name], f"{out_uri.rstrip('/')}/{s.name}.parquet") for s in specs}
+    """Discover, ingest and persist every dataset: `<out_uri>/<dataset>.parquet`.
+
+    Datasets are ingested side by side; one that breaks off leaves the others whole.
+    """
+    def place(spec: DatasetSpec) -> str:
+        return f"{out_uri.rstrip('/')}/{spec.name}.parquet"
+
+    def job(spec: DatasetSpec) -> Callable[[], Ingested]:
+        return lambda: persist_dataset(spark, spec, discover(spark, raw_uri, [spec])[spec.name], place(spec))
+
+    done = side_by_side(spark, {s.name: job(s) for s in specs})
+    return {s.name: failed_dataset(spark, s, place(s), r) if isinstance(r := done[s.name], Exception) else r for s in specs}
 
 
 def inventory_of(spark: SparkSession, ingested: dict[str, Ingested]) -> DataFrame:

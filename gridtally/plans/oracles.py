@@ -2,300 +2,42 @@
 
 from __future__ import annotations
 
-from gridtally.functions.text import WHITESPACE
-from gridtally.spec import LIMITATIONS, VEND_DATE_LIMITATION
-
-_SPACES = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
-
-
-def _strip(cell: str) -> str:
-    return f"trim({cell}, {_SPACES})"
-
-
-def _money(cell: str) -> str:
-    return f"coalesce(cast(sum(cast({cell} AS decimal(18,2))) AS double), 0.0)"
-
-
-def _percent(part: str, whole: str) -> str:
-    return f"(CASE WHEN {whole} > 0 THEN cast({part} AS double) / {whole} * 100.0 ELSE 0.0 END)"
-
-
-_READINGS = """readings AS (
-  SELECT l_suppkey AS mtrid, l_quantity AS kwh_consumption, l_extendedprice AS kvah_consumption,
-         l_shipdate AS midnightdate_parsed, cast(l_shipdate AS date) AS date, l_linestatus AS source_file
-  FROM lineitem)"""
-
-_PAYMENTS = """payments AS (
-  SELECT o_orderkey AS payment_id, o_custkey % 40 AS servicepointno, o_custkey AS meterno,
-         o_orderpriority AS categorycode, o_totalprice AS transactionamount,
-         o_orderdate AS issuedate_parsed, cast(o_orderdate AS date) AS vend_date, o_orderstatus AS source_file
-  FROM orders)"""
-
-# The text extract and its typed form; amounts of the extract are typed from their definition.
-_RAW = """raw AS (
-  SELECT event_id, ts, cast(user_id % 40 AS varchar) AS servicepointno,
-         CASE WHEN event_id % 19 <> 0 THEN '  ' || cast(user_id AS varchar) END AS meterno,
-         CASE WHEN event_id % 17 <> 0 THEN event_type END AS categorycode,
-         CASE event_id % 13 WHEN 0 THEN 'abc' WHEN 1 THEN '1.5d'
-           WHEN 2 THEN '  ' || cast(value AS varchar) || ' ' || chr(9)
-           WHEN 3 THEN '-3.25' WHEN 4 THEN '0' WHEN 5 THEN '+2e1' ELSE cast(value AS varchar) END AS transactionamount,
-         CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN strftime(ts, '%H:%M') WHEN 2 THEN 'bad-date'
-           ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS issuedate,
-         'file_' || cast(event_id % 3 AS varchar) AS source_file
-  FROM events)"""
-
-_TYPED = (
-    _RAW
-    + f""",
-cleaned AS (
-  SELECT event_id, ts, servicepointno, {_strip('meterno')} AS meterno, categorycode, source_file,
-         {_strip('transactionamount')} AS amount_text, {_strip('issuedate')} AS issuedate
-  FROM raw),
-parsed AS (
-  SELECT *, CASE WHEN regexp_full_match(amount_text, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
-                 THEN try_cast(ltrim(amount_text, '+') AS double) END AS transactionamount,
-         try_strptime(issuedate, '%Y-%m-%d %H:%M') AS issuedate_parsed,
-         regexp_full_match(issuedate, '[0-9]{{1,2}}:[0-9]{{2}}') AS issuedate_is_time_only
-  FROM cleaned),
-typed AS (
-  SELECT *, CASE WHEN issuedate = '' THEN 'missing' WHEN issuedate_is_time_only THEN 'time_only'
-                 WHEN issuedate_parsed IS NOT NULL THEN 'parsed_datetime' ELSE 'failed' END AS issuedate_parse_status,
-         CASE WHEN issuedate_is_time_only THEN issuedate END AS issuedate_time_only_text,
-         CASE WHEN issuedate_is_time_only THEN cast(split_part(issuedate, ':', 1) AS bigint) END AS issuedate_time_hour,
-         cast(issuedate_parsed AS date) AS vend_date,
-         cast(hour(issuedate_parsed) AS bigint) AS vend_hour,
-         coalesce(cast(hour(issuedate_parsed) AS bigint),
-                  CASE WHEN issuedate_is_time_only THEN cast(split_part(issuedate, ':', 1) AS bigint) END) AS analysis_hour
-  FROM parsed)"""
-)
-
-_RAW_READINGS = """raw_readings AS (
-  SELECT l_orderkey, l_linenumber, cast(l_suppkey AS varchar) AS mtrid, l_quantity AS kwh_consumption,
-         l_linestatus AS source_file, l_shipdate,
-         CASE l_orderkey % 11 WHEN 0 THEN 'not-a-date' WHEN 1 THEN strftime(l_shipdate, '%m/%d/%Y')
-           WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 06:30:00' WHEN 3 THEN NULL
-           ELSE strftime(l_shipdate, '%Y-%m-%d') END AS midnightdate,
-         CASE l_orderkey % 11 WHEN 0 THEN NULL WHEN 3 THEN NULL
-           WHEN 2 THEN date_trunc('day', l_shipdate) + INTERVAL '6 hours 30 minutes'
-           ELSE cast(date_trunc('day', l_shipdate) AS timestamp) END AS midnightdate_parsed
-  FROM lineitem)"""
-
-_REPEATED = (
-    _PAYMENTS
-    + """,
-dated AS (
-  SELECT payment_id, servicepointno, meterno, categorycode, transactionamount, source_file,
-         CASE WHEN payment_id % 30 <> 0 THEN vend_date END AS vend_date FROM payments),
-repeated AS (
-  SELECT * FROM dated UNION ALL SELECT * FROM dated WHERE payment_id % 10 = 0
-  UNION ALL SELECT * FROM dated WHERE payment_id % 50 = 0),
-groups AS (
-  SELECT payment_id, servicepointno, meterno, categorycode, transactionamount, source_file, vend_date,
-         count(*) AS copies
-  FROM repeated GROUP BY ALL HAVING count(*) > 1)"""
+from gridtally.plans.file_oracles import FILE_ORACLES
+from gridtally.plans.sql_parts import (
+    BOX,
+    COUNTS,
+    DAILY,
+    DAILY_MEAN,
+    FLAGS,
+    kpi_rows,
+    money,
+    outlier_union,
+    PAYMENTS,
+    percent,
+    profile_row,
+    QUARTILES,
+    ranked,
+    RAW,
+    RAW_READINGS,
+    READINGS,
+    REPEATED,
+    status_texts,
+    strip,
+    SUITE,
+    suite_sql,
+    TYPED,
+    warning_texts,
+    with_,
 )
 
-
-def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
-
-
-def _ranked(value: str, source: str, group: str = "0") -> str:
-    """CTE of values with rank and count inside their group."""
-    return f"""ranked AS (
-  SELECT {group} AS g, {value} AS v, row_number() OVER (PARTITION BY {group} ORDER BY {value}) - 1 AS k,
-         count(*) OVER (PARTITION BY {group}) - 1 AS last
-  FROM {source} WHERE {value} IS NOT NULL)"""
-
-
-def _quantile(share: float) -> str:
-    """Linear percentile from the two neighbouring order statistics."""
-    low = f"max(CASE WHEN k = floor(last * {share}) THEN v END)"
-    high = f"max(CASE WHEN k = ceil(last * {share}) THEN v END)"
-    place = f"(max(last) * {share}e0)"
-    return (
-        f"CASE WHEN {low} = {high} THEN {low} "
-        f"ELSE (ceil({place}) - {place}) * {low} + ({place} - floor({place})) * {high} END"
-    )
-
-
-_QUARTILES = f"""quartiles AS (
-  SELECT g, count(*) AS n, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS median, {_quantile(0.75)} AS q3
-  FROM ranked GROUP BY g),
-fences AS (
-  SELECT *, q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM quartiles)"""
-
-_BOX = """
-SELECT f.n, f.q1, f.median, f.q3,
-       min(CASE WHEN v BETWEEN lo AND hi THEN v END) AS lower_whisker,
-       max(CASE WHEN v BETWEEN lo AND hi THEN v END) AS upper_whisker,
-       count(CASE WHEN NOT v BETWEEN lo AND hi THEN 1 END) AS outlier_count{key}
-FROM ranked r JOIN fences f ON r.g = f.g GROUP BY ALL"""
-
-
-def _kpi_rows(dataset: str, source: str, metrics: dict[str, str]) -> str:
-    return "\nUNION ALL\n".join(
-        f"SELECT '{dataset}' AS dataset, '{m}' AS metric, cast(({e}) AS double) AS value FROM {source}"
-        for m, e in metrics.items()
-    )
-
-
-_DAILY = f"(SELECT date, {_money('kwh_consumption')} AS s FROM readings WHERE date IS NOT NULL GROUP BY date)"
-_DAILY_MEAN = f"(SELECT cast(sum(cast(s AS decimal(18,2))) AS double) / count(*) FROM {_DAILY})"
-
-
-def _profile_row(position: int, column: str, dtype: str, ranged: bool) -> str:
-    text = f"cast({column} AS varchar)"
-    first = f"(SELECT string_agg(t, ' | ' ORDER BY payment_id) FROM (SELECT payment_id, {text} AS t FROM payments WHERE {column} IS NOT NULL ORDER BY payment_id LIMIT 3))"
-    low, high = (f"cast(min({column}) AS varchar)", f"cast(max({column}) AS varchar)") if ranged else ("NULL", "NULL")
-    return f"""SELECT cast({position} AS bigint) AS position, '{column}' AS "column", '{dtype}' AS dtype, count({column}) AS non_null_count,
-       count(*) - count({column}) AS null_count,
-       round_even({_percent(f'(count(*) - count({column}))', 'count(*)')}, 2) AS missing_pct,
-       count(DISTINCT {column}) AS unique_count, {first} AS sample_values, {low} AS min_value, {high} AS max_value
-FROM payments"""
-
-
-def _warning_texts(source: str, texts: list[tuple[str, str]]) -> str:
-    """Ordered non-null texts with positions from 0."""
-    values = "\nUNION ALL\n".join(
-        f"SELECT {i} AS i, ({text}) AS warning FROM {source} WHERE {condition}" for i, (text, condition) in enumerate(texts)
-    )
-    return f"SELECT row_number() OVER (ORDER BY i) - 1 AS position, warning FROM ({values})"
-
-
-_COUNTS = """counts AS (
-  SELECT count(*) AS n, count(CASE WHEN issuedate_parse_status = 'time_only' THEN 1 END) AS time_only,
-         count(CASE WHEN issuedate_parse_status = 'missing' THEN 1 END) AS missing,
-         count(CASE WHEN issuedate_parse_status = 'parsed_datetime' THEN 1 END) AS parsed
-  FROM {source})"""
-
-
-def _status_texts() -> list[tuple[str, str]]:
-    def number(count: str) -> str:
-        return f"format('{{:,}}', {count})"
-
-    fixed = [(f"'{t}'", "true") for t in (*LIMITATIONS, VEND_DATE_LIMITATION)]
-    share = "cast(parsed AS double) / n * 100.0"
-    return fixed + [
-        (f"{number('time_only')} || ' vend records contain time-only issuedate values and cannot support full date analysis.'", "time_only > 0"),
-        (f"{number('missing')} || ' vend records have missing issuedate values.'", "missing > 0"),
-        ("'No vend rows currently contain a parsed full datetime.'", "parsed = 0 AND n > 0"),
-        (
-            f"'Vend full datetime coverage is ' || format('{{:.1f}}', {share}) || "
-            "'% which is below the warning threshold of 70.0%. Date-based charts remain available with caution.'",
-            f"n > 0 AND {share} < 70",
-        ),
-    ]
-
-
-# The suite runs on the typed payments with every tenth row twice.
-_SUITE = _TYPED + """,
-twice AS (SELECT * FROM typed UNION ALL SELECT * FROM typed WHERE event_id % 10 = 0)"""
-
-_SUITE_COLUMNS = (
-    "event_id servicepointno meterno categorycode transactionamount issuedate source_file issuedate_raw "
-    "issuedate_parse_status issuedate_is_time_only issuedate_parsed issuedate_time_only_text issuedate_time_hour "
-    "vend_date vend_month vend_week vend_day_of_week vend_hour analysis_hour"
-).split()
-# Columns whose nulls follow those of another column.
-_SUITE_SOURCE = {
-    "issuedate_raw": "issuedate",
-    "vend_month": "vend_date",
-    "vend_week": "vend_date",
-    "vend_day_of_week": "vend_date",
-}
-
-
-def _suite_sql() -> str:
-    def rows(check: str, item: str, source: str, metrics: dict[str, str], tail: str = "") -> list[str]:
-        return [
-            f"SELECT 'vend' AS dataset, '{check}' AS \"check\", {item} AS item, '{m}' AS metric, cast({e} AS double) AS value FROM {source} {tail}"
-            for m, e in metrics.items()
-        ]
-
-    parts: list[str] = []
-    for c in _SUITE_COLUMNS:
-        missing = f"(count(*) - count({_SUITE_SOURCE.get(c, c)}))"
-        parts += rows("missing_summary", f"'{c}'", "twice", {"missing_count": missing, "missing_pct": f"round_even({_percent(missing, 'count(*)')}, 2)"})
-    parts += rows("parse_summary", "issuedate_parse_status", "twice", {"count": "count(*)"}, "GROUP BY issuedate_parse_status")
-    parts += rows(
-        "numeric_flags",
-        "'transactionamount'",
-        "twice",
-        {
-            "null_count": "count(*) - count(transactionamount)",
-            "negative_count": "count(CASE WHEN transactionamount < 0 THEN 1 END)",
-            "zero_count": "count(CASE WHEN transactionamount = 0 THEN 1 END)",
-        },
-    )
-    parts += rows(
-        "outlier_summary",
-        "'transactionamount'",
-        "fences",
-        {
-            "outlier_count": "(SELECT count(*) FROM ranked, fences WHERE v < lo OR v > hi)",
-            "lower_bound": "lo",
-            "upper_bound": "hi",
-            "iqr_multiplier": "1.5",
-        },
-    )
-    parts += rows(
-        "temporal_summary",
-        "'issuedate_parsed'",
-        "twice",
-        {
-            "parsed_rows": "count(issuedate_parsed)",
-            "total_rows": "count(*)",
-            "parse_coverage_pct": f"round_even({_percent('count(issuedate_parsed)', 'count(*)')}, 2)",
-            "future_row_count": "count(CASE WHEN issuedate_parsed > TIMESTAMP '2024-01-20 12:00:00' THEN 1 END)",
-            "stale_days": "max(90)",
-        },
-    )
-    parts += rows("duplicates_by_source", "source_file", "typed", {"duplicate_rows": "2 * count(*)"}, "WHERE event_id % 10 = 0 GROUP BY source_file")
-    parts += rows(
-        "duplicates_by_date",
-        "coalesce(cast(vend_date AS varchar), 'unknown')",
-        "typed",
-        {"duplicate_rows": "2 * count(*)"},
-        "WHERE event_id % 10 = 0 GROUP BY coalesce(cast(vend_date AS varchar), 'unknown')",
-    )
-    parts += rows("duplicate_rows", "'vend'", "typed", {"duplicate_rows": "count(*)"}, "WHERE event_id % 10 = 0")
-    parts += rows(
-        "categorical_summary",
-        "'categorycode'",
-        "twice",
-        {"allowed_count": "max(2)", "invalid_count": "count(CASE WHEN categorycode NOT IN ('click', 'view') THEN 1 END)"},
-    )
-    return _with(_SUITE, _ranked("transactionamount", "twice"), _QUARTILES) + "\nUNION ALL\n".join(parts)
-
-
-def _outlier_union() -> str:
-    def one(column: str, name: str) -> str:
-        ranked = _ranked(column, "typed").replace("ranked AS", f"ranked_{name} AS")
-        fences = _QUARTILES.replace("ranked", f"ranked_{name}").replace("quartiles", f"quartiles_{name}").replace("fences AS", f"fences_{name} AS")
-        return ranked + ",\n" + fences
-
-    def row(column: str, name: str) -> str:
-        return (
-            f"SELECT '{column}' AS \"column\", count(CASE WHEN v < lo OR v > hi THEN 1 END) AS outlier_count, "
-            f"lo AS lower_bound, hi AS upper_bound, 1.5e0 AS iqr_multiplier "
-            f"FROM ranked_{name} r JOIN fences_{name} f ON r.g = f.g GROUP BY lo, hi"
-        )
-
-    return _with(_TYPED, one("transactionamount", "a"), one("cast(event_id AS double)", "b")) + row("transactionamount", "a") + " UNION ALL " + row("event_id", "b")
-
-
-_FLAGS = ("count(*) - count({c}) AS null_count, count(CASE WHEN {c} < 0 THEN 1 END) AS negative_count, "
-          "count(CASE WHEN {c} = 0 THEN 1 END) AS zero_count")
-
 ORACLES: dict[str, str] = {
-    "trim_text": _with(_RAW) + f"SELECT event_id, {_strip('meterno')} AS meterno, {_strip('issuedate')} AS issuedate FROM raw",
+    "trim_text": with_(RAW) + f"SELECT event_id, {strip('meterno')} AS meterno, {strip('issuedate')} AS issuedate FROM raw",
     "null_tokens": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NA' ELSE event_type END AS cell
 FROM events""",
-    "coerce_numeric": _with(_TYPED) + "SELECT event_id, transactionamount FROM typed",
-    "parse_dates": _with(_RAW_READINGS)
+    "coerce_numeric": with_(TYPED) + "SELECT event_id, transactionamount FROM typed",
+    "parse_dates": with_(RAW_READINGS)
     + "SELECT l_orderkey, l_linenumber, cast(midnightdate_parsed AS varchar) AS parsed FROM raw_readings",
-    "parse_dates_per_file": _with(_RAW_READINGS)
+    "parse_dates_per_file": with_(RAW_READINGS)
     + """, shaped AS (
   SELECT *, regexp_replace(regexp_replace(midnightdate, '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g') AS shape FROM raw_readings),
 first_shape AS (
@@ -305,82 +47,82 @@ first_shape AS (
 SELECT s.source_file, count(*) AS "rows",
        count(CASE WHEN NOT f.known OR s.shape = f.shape THEN midnightdate_parsed END) AS parsed
 FROM shaped s JOIN first_shape f ON s.source_file = f.source_file GROUP BY s.source_file""",
-    "enrich_readings": _with(_RAW_READINGS)
+    "enrich_readings": with_(RAW_READINGS)
     + """SELECT l_orderkey, l_linenumber, mtrid, kwh_consumption, midnightdate AS midnightdate_raw,
        midnightdate_parsed IS NOT NULL AS midnightdate_parse_success, cast(midnightdate_parsed AS date) AS date,
        strftime(midnightdate_parsed, '%Y-%m') AS month, cast(week(midnightdate_parsed) AS bigint) AS week,
        dayname(midnightdate_parsed) AS day_of_week
 FROM raw_readings""",
-    "classify_payment_dates": _with(_TYPED)
+    "classify_payment_dates": with_(TYPED)
     + "SELECT event_id, issuedate_parse_status, issuedate_is_time_only, issuedate_time_only_text FROM typed",
-    "payment_hours": _with(_TYPED)
+    "payment_hours": with_(TYPED)
     + """SELECT event_id, vend_date, strftime(vend_date, '%Y-%m') AS vend_month, dayname(vend_date) AS vend_day_of_week,
        issuedate_time_hour, cast(week(vend_date) AS bigint) AS vend_week, vend_hour, analysis_hour FROM typed""",
-    "dup_policy_drop": _with(_REPEATED)
+    "dup_policy_drop": with_(REPEATED)
     + "SELECT DISTINCT payment_id, meterno, transactionamount, vend_date, source_file FROM repeated",
-    "dup_policy_counts": _with(_REPEATED)
+    "dup_policy_counts": with_(REPEATED)
     + """SELECT 'drop_last' AS mode, cast(sum(copies - 1) AS bigint) AS "before", cast(0 AS bigint) AS "after" FROM groups
 UNION ALL SELECT 'keep_all', cast(sum(copies - 1) AS bigint), cast(sum(copies - 1) AS bigint) FROM groups""",
-    "dup_keep_last_by_key": _with(_PAYMENTS)
+    "dup_keep_last_by_key": with_(PAYMENTS)
     + """SELECT meterno, payment_id, transactionamount, source_file FROM (
   SELECT *, row_number() OVER (PARTITION BY meterno ORDER BY issuedate_parsed DESC, payment_id DESC) AS place FROM payments)
 WHERE place = 1""",
-    "dup_row_count": _with(_REPEATED) + "SELECT cast(sum(copies - 1) AS bigint) AS duplicate_rows FROM groups",
-    "dup_by_source": _with(_REPEATED)
+    "dup_row_count": with_(REPEATED) + "SELECT cast(sum(copies - 1) AS bigint) AS duplicate_rows FROM groups",
+    "dup_by_source": with_(REPEATED)
     + "SELECT source_file AS label, cast(sum(copies) AS bigint) AS duplicate_rows FROM groups GROUP BY source_file",
-    "dup_by_date": _with(_REPEATED)
+    "dup_by_date": with_(REPEATED)
     + """SELECT coalesce(cast(vend_date AS varchar), 'unknown') AS label, cast(sum(copies) AS bigint) AS duplicate_rows
 FROM groups GROUP BY 1""",
-    "distinct_values": _with(_TYPED) + "SELECT DISTINCT meterno AS value FROM typed WHERE meterno IS NOT NULL",
-    "value_bounds": _with(_PAYMENTS)
+    "distinct_values": with_(TYPED) + "SELECT DISTINCT meterno AS value FROM typed WHERE meterno IS NOT NULL",
+    "value_bounds": with_(PAYMENTS)
     + """SELECT min(transactionamount) AS transactionamount_min, max(transactionamount) AS transactionamount_max,
        min(vend_date) AS vend_date_min, max(vend_date) AS vend_date_max FROM payments""",
-    "filter_readings": _with(_READINGS)
+    "filter_readings": with_(READINGS)
     + """SELECT mtrid, kwh_consumption, kvah_consumption, date, source_file FROM readings
 WHERE midnightdate_parsed IS NOT NULL AND date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30'
   AND mtrid BETWEEN 1 AND 59 AND mtrid % 2 = 1 AND kwh_consumption BETWEEN 5 AND 40""",
-    "filter_payments": _with(_TYPED)
+    "filter_payments": with_(TYPED)
     + """SELECT event_id, categorycode, transactionamount, analysis_hour FROM typed
 WHERE issuedate_parse_status IN ('parsed_datetime', 'time_only') AND categorycode IN ('click', 'view', 'purchase')
   AND source_file IN ('file_0', 'file_2') AND transactionamount BETWEEN 0 AND 1000 AND analysis_hour BETWEEN 6 AND 18""",
-    "filter_full_datetime": _with(_TYPED)
+    "filter_full_datetime": with_(TYPED)
     + """SELECT event_id, servicepointno, meterno, vend_date FROM typed
 WHERE issuedate_parse_status = 'parsed_datetime' AND vend_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-12'
   AND servicepointno IN ('1', '2', '3')""",
-    "drilldown_filter": _with(_READINGS) + "SELECT mtrid, kwh_consumption, date FROM readings WHERE mtrid = 7",
-    "safe_aggregates": _with(_TYPED)
-    + f"""SELECT {_money('transactionamount')} AS total_value,
-       {_money('transactionamount')} / count(transactionamount) AS mean_value,
+    "drilldown_filter": with_(READINGS) + "SELECT mtrid, kwh_consumption, date FROM readings WHERE mtrid = 7",
+    "safe_aggregates": with_(TYPED)
+    + f"""SELECT {money('transactionamount')} AS total_value,
+       {money('transactionamount')} / count(transactionamount) AS mean_value,
        count(DISTINCT meterno) AS distinct_keys FROM typed""",
-    "date_span": _with(_PAYMENTS) + """SELECT min(vend_date) AS "min", max(vend_date) AS "max" FROM payments""",
-    "readings_kpis": _with(_READINGS)
+    "date_span": with_(PAYMENTS) + """SELECT min(vend_date) AS "min", max(vend_date) AS "max" FROM payments""",
+    "readings_kpis": with_(READINGS)
     + f"""SELECT count(*) AS "rows", count(DISTINCT mtrid) AS unique_meters,
-       {_money('kwh_consumption')} AS total_kwh_consumption, {_money('kvah_consumption')} AS total_kvah_consumption,
-       {_DAILY_MEAN} AS average_daily_kwh, (SELECT min(s) FROM {_DAILY}) AS min_daily_kwh,
-       (SELECT max(s) FROM {_DAILY}) AS max_daily_kwh, min(date) AS span_min, max(date) AS span_max FROM readings""",
-    "payments_kpis": _with(_TYPED)
+       {money('kwh_consumption')} AS total_kwh_consumption, {money('kvah_consumption')} AS total_kvah_consumption,
+       {DAILY_MEAN} AS average_daily_kwh, (SELECT min(s) FROM {DAILY}) AS min_daily_kwh,
+       (SELECT max(s) FROM {DAILY}) AS max_daily_kwh, min(date) AS span_min, max(date) AS span_max FROM readings""",
+    "payments_kpis": with_(TYPED)
     + f"""SELECT count(*) AS "rows", count(*) AS transactions, count(DISTINCT servicepointno) AS unique_service_points,
-       count(DISTINCT meterno) AS unique_meters, {_money('transactionamount')} AS total_transaction_amount,
-       {_money('transactionamount')} / count(transactionamount) AS average_transaction_amount,
+       count(DISTINCT meterno) AS unique_meters, {money('transactionamount')} AS total_transaction_amount,
+       {money('transactionamount')} / count(transactionamount) AS average_transaction_amount,
        count(CASE WHEN issuedate_is_time_only THEN 1 END) AS time_only_rows,
        min(vend_date) AS span_min, max(vend_date) AS span_max FROM typed""",
-    "overview_kpis": _with(_READINGS, _PAYMENTS)
+    "overview_kpis": with_(READINGS, PAYMENTS)
     + "SELECT 'all' AS dataset, 'files' AS metric, cast((SELECT count(DISTINCT source_file) FROM readings) + (SELECT count(DISTINCT source_file) FROM payments) AS double) AS value\nUNION ALL\n"
-    + _kpi_rows(
+    + kpi_rows(
         "consumption",
         "readings",
         {
             "files": "count(DISTINCT source_file)",
             "rows": "count(*)",
             "unique_meters": "count(DISTINCT mtrid)",
-            "total_kwh_consumption": _money("kwh_consumption"),
-            "total_kvah_consumption": _money("kvah_consumption"),
+            "total_kwh_consumption": money("kwh_consumption"),
+            "total_kvah_consumption": money("kvah_consumption"),
         },
     )
     + "\nUNION ALL\n"
-    + _kpi_rows(
+    + kpi_rows(
         "consumption",
-        _DAILY,
+        DAILY,
         {
             "average_daily_kwh": "cast(sum(cast(s AS decimal(18,2))) AS double) / count(*)",
             "min_daily_kwh": "min(s)",
@@ -388,7 +130,7 @@ WHERE issuedate_parse_status = 'parsed_datetime' AND vend_date BETWEEN DATE '202
         },
     )
     + "\nUNION ALL\n"
-    + _kpi_rows(
+    + kpi_rows(
         "vend",
         "payments",
         {
@@ -397,18 +139,18 @@ WHERE issuedate_parse_status = 'parsed_datetime' AND vend_date BETWEEN DATE '202
             "transactions": "count(*)",
             "unique_service_points": "count(DISTINCT servicepointno)",
             "unique_meters": "count(DISTINCT meterno)",
-            "total_transaction_amount": _money("transactionamount"),
-            "average_transaction_amount": _money("transactionamount") + " / count(transactionamount)",
+            "total_transaction_amount": money("transactionamount"),
+            "average_transaction_amount": money("transactionamount") + " / count(transactionamount)",
             "time_only_rows": "0 * count(*)",
         },
     ),
-    "coverage_table": _with(_READINGS, _PAYMENTS)
+    "coverage_table": with_(READINGS, PAYMENTS)
     + """SELECT 'Consumption' AS dataset, count(DISTINCT source_file) AS files, count(*) AS "rows",
        cast(min(date) AS varchar) || ' to ' || cast(max(date) AS varchar) AS date_span FROM readings
 UNION ALL
 SELECT 'Vend / Recharge', count(DISTINCT source_file), count(*),
        cast(min(vend_date) AS varchar) || ' to ' || cast(max(vend_date) AS varchar) FROM payments""",
-    "quality_snapshot": _with(_RAW_READINGS, _TYPED)
+    "quality_snapshot": with_(RAW_READINGS, TYPED)
     + """, twice_read AS (SELECT * FROM raw_readings UNION ALL SELECT * FROM raw_readings WHERE l_orderkey % 10 = 0),
 read_groups AS (
   SELECT count(*) AS copies FROM twice_read
@@ -421,35 +163,35 @@ UNION ALL
 SELECT 'vend', true, 'None', count(CASE WHEN event_id % 10 = 0 THEN 1 END),
        cast(sum(CASE WHEN issuedate_parse_status <> 'parsed_datetime' THEN CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS bigint)
 FROM typed""",
-    "parse_coverage": _with(_TYPED)
-    + f"""SELECT parsed_rows, total_rows, {_percent('parsed_rows', 'total_rows')} AS parse_coverage_pct FROM (
+    "parse_coverage": with_(TYPED)
+    + f"""SELECT parsed_rows, total_rows, {percent('parsed_rows', 'total_rows')} AS parse_coverage_pct FROM (
   SELECT count(CASE WHEN issuedate_parse_status = 'parsed_datetime' THEN 1 END) AS parsed_rows, count(*) AS total_rows FROM typed)""",
-    "meter_kpis": _with(_READINGS)
-    + f"""SELECT mtrid, count(*) AS "rows", {_money('kwh_consumption')} AS total_value,
+    "meter_kpis": with_(READINGS)
+    + f"""SELECT mtrid, count(*) AS "rows", {money('kwh_consumption')} AS total_value,
        min(kwh_consumption) AS min_value, max(kwh_consumption) AS max_value FROM readings GROUP BY mtrid""",
-    "payer_kpis": _with(_TYPED)
-    + f"""SELECT servicepointno, count(*) AS "rows", {_money('transactionamount')} AS total_value,
-       {_money('transactionamount')} / nullif(count(transactionamount), 0) AS mean_value,
+    "payer_kpis": with_(TYPED)
+    + f"""SELECT servicepointno, count(*) AS "rows", {money('transactionamount')} AS total_value,
+       {money('transactionamount')} / nullif(count(transactionamount), 0) AS mean_value,
        count(DISTINCT source_file) AS source_files FROM typed GROUP BY servicepointno""",
-    "daily_total": _with(_READINGS) + f"SELECT date, {_money('kwh_consumption')} AS total_value FROM readings GROUP BY date",
-    "daily_total_by_meter": _with(_READINGS)
-    + f"SELECT mtrid, date, {_money('kwh_consumption')} AS total_value FROM readings GROUP BY mtrid, date",
-    "top10_meters": _with(_READINGS)
-    + f"""SELECT mtrid, {_money('kwh_consumption')} AS total_value FROM readings GROUP BY mtrid
+    "daily_total": with_(READINGS) + f"SELECT date, {money('kwh_consumption')} AS total_value FROM readings GROUP BY date",
+    "daily_total_by_meter": with_(READINGS)
+    + f"SELECT mtrid, date, {money('kwh_consumption')} AS total_value FROM readings GROUP BY mtrid, date",
+    "top10_meters": with_(READINGS)
+    + f"""SELECT mtrid, {money('kwh_consumption')} AS total_value FROM readings GROUP BY mtrid
 ORDER BY total_value DESC, mtrid LIMIT 10""",
-    "amount_by_source": _with(_PAYMENTS)
-    + f"SELECT source_file, {_money('transactionamount')} AS total_value FROM payments GROUP BY source_file",
-    "daily_amount": _with(_TYPED)
-    + f"SELECT vend_date, {_money('transactionamount')} AS total_value FROM typed WHERE vend_date IS NOT NULL GROUP BY vend_date",
-    "hourly_profile": _with(_TYPED)
-    + f"""SELECT analysis_hour, {_money('transactionamount')} AS total_value FROM typed
+    "amount_by_source": with_(PAYMENTS)
+    + f"SELECT source_file, {money('transactionamount')} AS total_value FROM payments GROUP BY source_file",
+    "daily_amount": with_(TYPED)
+    + f"SELECT vend_date, {money('transactionamount')} AS total_value FROM typed WHERE vend_date IS NOT NULL GROUP BY vend_date",
+    "hourly_profile": with_(TYPED)
+    + f"""SELECT analysis_hour, {money('transactionamount')} AS total_value FROM typed
 WHERE analysis_hour IS NOT NULL GROUP BY analysis_hour""",
-    "category_breakdown": _with(_TYPED)
-    + f"""SELECT categorycode, {_money('transactionamount')} AS "sum", count(transactionamount) AS "count" FROM typed
+    "category_breakdown": with_(TYPED)
+    + f"""SELECT categorycode, {money('transactionamount')} AS "sum", count(transactionamount) AS "count" FROM typed
 WHERE categorycode IS NOT NULL GROUP BY categorycode""",
-    "drilldown_sources": _with(_PAYMENTS)
-    + f"SELECT meterno, source_file, {_money('transactionamount')} AS total_value FROM payments GROUP BY meterno, source_file",
-    "histogram40": _with(_PAYMENTS)
+    "drilldown_sources": with_(PAYMENTS)
+    + f"SELECT meterno, source_file, {money('transactionamount')} AS total_value FROM payments GROUP BY meterno, source_file",
+    "histogram40": with_(PAYMENTS)
     + """, ends AS (SELECT min(transactionamount) AS lo, max(transactionamount) AS hi FROM payments),
 placed AS (
   SELECT least(cast(floor(40 * (transactionamount - lo) / (hi - lo)) AS bigint) + 1, 40) AS bin FROM payments, ends),
@@ -457,27 +199,27 @@ bins AS (SELECT i AS bin FROM range(1, 41) t(i))
 SELECT b.bin, lo + (b.bin - 1) * ((hi - lo) / 40) AS lower, lo + b.bin * ((hi - lo) / 40) AS upper,
        (SELECT count(*) FROM placed p WHERE p.bin = b.bin) AS "count"
 FROM bins b, ends""",
-    "box_stats": _with(_TYPED, _ranked("transactionamount", "typed"), _QUARTILES) + _BOX.format(key=""),
-    "box_stats_by_category": _with(_PAYMENTS, _ranked("transactionamount", "payments", "categorycode"), _QUARTILES)
-    + _BOX.format(key=", f.g AS categorycode"),
-    "box_outliers": _with(_TYPED, _ranked("transactionamount", "typed"), _QUARTILES)
+    "box_stats": with_(TYPED, ranked("transactionamount", "typed"), QUARTILES) + BOX.format(key=""),
+    "box_stats_by_category": with_(PAYMENTS, ranked("transactionamount", "payments", "categorycode"), QUARTILES)
+    + BOX.format(key=", f.g AS categorycode"),
+    "box_outliers": with_(TYPED, ranked("transactionamount", "typed"), QUARTILES)
     + "SELECT v AS transactionamount FROM ranked r JOIN fences f ON r.g = f.g WHERE v < lo OR v > hi",
-    "preview": _with(_PAYMENTS)
+    "preview": with_(PAYMENTS)
     + "SELECT payment_id, meterno, categorycode, transactionamount FROM payments ORDER BY payment_id LIMIT 1000",
-    "numeric_flags": _with(_TYPED)
-    + f"""SELECT 'transactionamount' AS "column", {_FLAGS.format(c='transactionamount')} FROM typed
-UNION ALL SELECT 'event_id', {_FLAGS.format(c='event_id')} FROM typed""",
-    "iqr_outliers": _outlier_union(),
-    "missing_summary": _with(_TYPED)
+    "numeric_flags": with_(TYPED)
+    + f"""SELECT 'transactionamount' AS "column", {FLAGS.format(c='transactionamount')} FROM typed
+UNION ALL SELECT 'event_id', {FLAGS.format(c='event_id')} FROM typed""",
+    "iqr_outliers": outlier_union(),
+    "missing_summary": with_(TYPED)
     + "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count,
-       round_even({_percent(f'(count(*) - count({c}))', 'count(*)')}, 2) AS missing_pct FROM typed"""
+       round_even({percent(f'(count(*) - count({c}))', 'count(*)')}, 2) AS missing_pct FROM typed"""
         for c in ("event_id", "meterno", "categorycode", "transactionamount", "issuedate_parse_status", "vend_date")
     ),
-    "table_overview": _with(_PAYMENTS) + """SELECT count(*) AS "rows", cast(8 AS bigint) AS "columns" FROM payments""",
-    "column_profile": _with(_PAYMENTS)
+    "table_overview": with_(PAYMENTS) + """SELECT count(*) AS "rows", cast(8 AS bigint) AS "columns" FROM payments""",
+    "column_profile": with_(PAYMENTS)
     + "\nUNION ALL\n".join(
-        _profile_row(i, *row)
+        profile_row(i, *row)
         for i, row in enumerate(
             (
                 ("servicepointno", "bigint", True),
@@ -489,18 +231,18 @@ UNION ALL SELECT 'event_id', {_FLAGS.format(c='event_id')} FROM typed""",
             )
         )
     ),
-    "parse_summary": _with(_TYPED)
+    "parse_summary": with_(TYPED)
     + """SELECT issuedate_parse_status AS status, count(*) AS "count" FROM typed GROUP BY issuedate_parse_status""",
-    "parse_summary_readings": _with(_RAW_READINGS)
+    "parse_summary_readings": with_(RAW_READINGS)
     + """SELECT 'parsed_datetime' AS status, count(midnightdate_parsed) AS "count" FROM raw_readings
 UNION ALL SELECT 'failed_or_missing', count(*) - count(midnightdate_parsed) FROM raw_readings""",
-    "temporal_sanity": _with(_PAYMENTS)
+    "temporal_sanity": with_(PAYMENTS)
     + f"""SELECT 'issuedate_parsed' AS date_column, count(issuedate_parsed) AS parsed_rows, count(*) AS total_rows,
-       round_even({_percent('count(issuedate_parsed)', 'count(*)')}, 2) AS parse_coverage_pct,
+       round_even({percent('count(issuedate_parsed)', 'count(*)')}, 2) AS parse_coverage_pct,
        count(CASE WHEN issuedate_parsed > TIMESTAMP '2001-01-31 00:00:00' THEN 1 END) AS future_row_count,
        cast(max(issuedate_parsed) AS date) AS latest_date, cast(min(issuedate_parsed) AS date) AS oldest_date,
        max(issuedate_parsed) < TIMESTAMP '2000-10-03 00:00:00' AS is_stale, cast(90 AS bigint) AS stale_days FROM payments""",
-    "categorical_check": _with(_PAYMENTS)
+    "categorical_check": with_(PAYMENTS)
     + "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", cast({n} AS bigint) AS allowed_count, count(*) AS invalid_count,
        (SELECT string_agg(v, ' | ' ORDER BY place) FROM (
@@ -512,35 +254,36 @@ FROM payments WHERE {c} NOT IN {allowed}"""
             ("source_file", 1, "('F')"),
         )
     ),
-    "quality_warnings": _with(_TYPED, _COUNTS.format(source="typed")) + _warning_texts("counts", _status_texts()),
-    "quality_suite": _suite_sql(),
-    "quality_suite_warnings": _with(
-        _SUITE,
-        _COUNTS.format(source="twice"),
+    "quality_warnings": with_(TYPED, COUNTS.format(source="typed")) + warning_texts("counts", status_texts()),
+    "quality_suite": suite_sql(),
+    "quality_suite_warnings": with_(
+        SUITE,
+        COUNTS.format(source="twice"),
         """more AS (
   SELECT count(CASE WHEN issuedate_parsed > TIMESTAMP '2024-01-20 12:00:00' THEN 1 END) AS future,
          count(CASE WHEN categorycode NOT IN ('click', 'view') THEN 1 END) AS invalid FROM twice)""",
         "known AS (SELECT * FROM counts, more)",
     )
-    + _warning_texts(
+    + warning_texts(
         "known",
-        _status_texts()
+        status_texts()
         + [
             ("format('{:,}', future) || ' rows have parsed dates beyond the allowed future window (0 days).'", "future > 0"),
             ("'Categorical validation found ' || format('{:,}', invalid) || ' values outside configured allow-lists.'", "invalid > 0"),
         ],
     ),
-    "csv_ingest": _with(_TYPED)
+    "csv_ingest": with_(TYPED)
     + f"""SELECT issuedate_parse_status, analysis_hour, count(*) AS "rows", count(meterno) AS meters,
-       {_money('transactionamount')} AS total_value FROM typed GROUP BY issuedate_parse_status, analysis_hour""",
-    "file_inventory": _with(_TYPED)
+       {money('transactionamount')} AS total_value FROM typed GROUP BY issuedate_parse_status, analysis_hour""",
+    "file_inventory": with_(TYPED)
     + """SELECT 'vend' AS dataset, 'ok' AS read_status, event_id % 2 = 0 AS schema_valid,
        cast(CASE WHEN event_id % 2 = 0 THEN 5 ELSE 3 END AS bigint) AS column_count,
        CASE WHEN event_id % 2 = 0 THEN 'servicepointno, meterno, categorycode, transactionamount, issuedate'
             ELSE 'issuedate, meterno, event_id' END AS standardized_columns,
        count(*) AS rows_read, count(CASE WHEN issuedate_parse_status <> 'parsed_datetime' THEN 1 END) AS parse_warning_count
 FROM typed GROUP BY event_id % 2""",
-    "incremental_ingest": _with(_TYPED)
-    + f"""SELECT issuedate_parse_status, count(*) AS "rows", {_money('transactionamount')} AS total_value
+    "incremental_ingest": with_(TYPED)
+    + f"""SELECT issuedate_parse_status, count(*) AS "rows", {money('transactionamount')} AS total_value
 FROM typed GROUP BY issuedate_parse_status""",
+    **FILE_ORACLES,
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtally.functions.quantiles import GROUP_LIMIT
 from gridtally.operators import quality as q
@@ -16,6 +17,7 @@ from gridtally.operators.dedupe import duplicate_groups, duplicates_by_date, dup
 from gridtally.operators.filters import file_diagnostics
 from gridtally.operators.profile import column_profile
 from gridtally.operators.transforms import data_columns, union_by_name
+from gridtally.plans.ingest_job import INVENTORY
 from gridtally.spec import PARSED, DatasetSpec
 
 
@@ -140,6 +142,14 @@ def _builders(
     return builders
 
 
+def check_schemas(spark: SparkSession, spec: DatasetSpec) -> dict[str, T.StructType]:
+    """Schema of each check's table, for reading written reports; from an empty table of the dataset."""
+    empty = spark.createDataFrame([], spec.struct_type())
+    inventory = spark.createDataFrame([], INVENTORY)
+    report = run_checks(empty, spec, dt.datetime(2000, 1, 1), inventory)
+    return {name: table.schema for name, table in report.checks.items()}
+
+
 def snapshot(reports: list[QualityReport]) -> DataFrame:
     """Duplicates, parse warnings and missing columns of each dataset; one row each."""
     rows = []
@@ -164,6 +174,8 @@ def suite_rows(report: QualityReport) -> DataFrame:
     """The numeric results of a report in long form: (dataset, check, item, metric, value)."""
     parts = []
     for check, item in NUMERIC_CHECKS.items():
+        if check not in report.checks:
+            continue
         table = report[check]
         numbers = [f.name for f in table.schema if f.dataType.simpleString() in ("bigint", "double")]
         wide = table.select("dataset", F.col(item).cast("string").alias("item"), *[F.col(c).cast("double").alias(c) for c in numbers])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 
 from gridtally.functions import numbers, text
 from gridtally.operators import dedupe, filters, kpis, profile, quality, rollups, transforms
-from gridtally.plans.ingest_job import inventory_of, persist_dataset, shared_folder
+from gridtally.plans.extracts import CELLS, EXTRACT, extract_folder, write_extract
+from gridtally.plans.file_queries import FILE_QUERIES
+from gridtally.plans.ingest_job import inventory_of, persist_dataset
 from gridtally.plans.quality_suite import CHECKS, NUMERIC_CHECKS, SNAPSHOT_CHECKS, run_checks, snapshot, suite_rows
 from gridtally.plans.tables import (
     PAYMENTS,
@@ -377,35 +378,17 @@ def quality_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- files --------------------------------------------------------------------------------
 
-_CELLS = ("servicepointno", "meterno", "categorycode", "transactionamount", "issuedate")
-
-
-def _write_extract(rows: DataFrame, uri: str, headers: dict[str, str] | None = None, mode: str = "overwrite") -> None:
-    """Raw rows as CSV files, with other header names where given."""
-    names = headers or {}
-    cells = rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
-    writer = cells.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False)
-    writer.option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(uri)
-
-
-_EXTRACT = replace(PAYMENTS, file_patterns=("part-*.csv",))
-
-
-def _extract_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark, '/tmp/gridtally')}/extract-{uuid.uuid4()}"
-
-
 def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Text extract written, discovered, read by its headers, typed, stored; then status and hour totals."""
-    folder = _extract_folder(spark)
+    folder = extract_folder(spark)
     headers = {"servicepointno": "Service-Point No", "meterno": "Meter.No", "transactionamount": "TransactionAmount"}
     spec = replace(
-        _EXTRACT,
+        EXTRACT,
         required_columns=("service_point_no", "meter_no", "categorycode", "transaction_amount", "issuedate"),
         numeric_columns=("transaction_amount",),
         measure="transaction_amount",
     )
-    _write_extract(raw_payments(spark, sf).select(*_CELLS), f"{folder}/raw", headers)
+    write_extract(raw_payments(spark, sf).select(*CELLS), f"{folder}/raw", headers)
     files = discover(spark, f"{folder}/raw", [spec])[spec.name]
     table = persist_dataset(spark, spec, files, f"{folder}/table").table
     return table.groupBy("issuedate_parse_status", F.col("analysis_hour").cast("bigint").alias("analysis_hour")).agg(
@@ -417,11 +400,11 @@ def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """Inventory of two header layouts in one folder, summed over files."""
-    folder = _extract_folder(spark)
+    folder = extract_folder(spark)
     rows = raw_payments(spark, sf)
-    spec = replace(_EXTRACT, required_columns=(*_EXTRACT.required_columns[:4], "issuedate"))
-    _write_extract(rows.where(F.col("event_id") % 2 == 0).select(*_CELLS), f"{folder}/raw")
-    _write_extract(rows.where(F.col("event_id") % 2 == 1).select("issuedate", "meterno", "event_id"), f"{folder}/raw", mode="append")
+    spec = replace(EXTRACT, required_columns=(*EXTRACT.required_columns[:4], "issuedate"))
+    write_extract(rows.where(F.col("event_id") % 2 == 0).select(*CELLS), f"{folder}/raw")
+    write_extract(rows.where(F.col("event_id") % 2 == 1).select("issuedate", "meterno", "event_id"), f"{folder}/raw", mode="append")
     files = discover(spark, f"{folder}/raw", [spec])[spec.name]
     done = persist_dataset(spark, spec, files, f"{folder}/table")
     inventory = inventory_of(spark, {spec.name: done})
@@ -432,18 +415,18 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Files that arrive in two waves, taken by two runs of the incremental job."""
-    folder = _extract_folder(spark)
+    folder = extract_folder(spark)
     rows = raw_payments(spark, sf)
     for rest, mode in ((0, "overwrite"), (1, "append")):
-        _write_extract(rows.where(F.col("event_id") % 2 == rest).select(*_CELLS), f"{folder}/raw", mode=mode)
-        ingest_new_files(spark, _EXTRACT, f"{folder}/raw", f"{folder}/out", f"{folder}/checkpoint")
+        write_extract(rows.where(F.col("event_id") % 2 == rest).select(*CELLS), f"{folder}/raw", mode=mode)
+        ingest_new_files(spark, EXTRACT, f"{folder}/raw", f"{folder}/out", f"{folder}/checkpoint")
     table = read_table(spark, f"{folder}/out")
     return table.groupBy("issuedate_parse_status").agg(
         F.count(F.lit(1)).alias("rows"), numbers.total(F.col("transactionamount"), 2).alias("total_value")
     )
 
 
-QUERIES: dict[str, Query] = {
+_OWN: dict[str, Query] = {
     query.__name__: query
     for query in (
         trim_text,
@@ -506,3 +489,5 @@ QUERIES: dict[str, Query] = {
         incremental_ingest,
     )
 }
+
+QUERIES: dict[str, Query] = {**_OWN, **FILE_QUERIES}

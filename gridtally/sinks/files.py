@@ -12,6 +12,10 @@ from gridtally.operators.transforms import union_by_name
 from gridtally.spec import ROW_ORDINAL
 
 REPORT_VERSION = "1.0.0"
+_MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_JSON = {"timestampNTZFormat": _MOMENT, "timestampFormat": _MOMENT + "XXX"}
+#: Columns of the long form of a report.
+REPORT_SCHEMA = "schema_version string, generated_at_utc string, dataset string, check string, payload string"
 
 
 def write_parquet(df: DataFrame, uri: str, partition_by: str | None = None) -> tuple[bool, str]:
@@ -32,9 +36,37 @@ def write_parquet(df: DataFrame, uri: str, partition_by: str | None = None) -> t
     return True, f"Wrote {name}."
 
 
+#: What the reader turns a quoted empty cell into, to tell it from a missing one. No cell holds it.
+_EMPTY_CELL = "\x00empty\x00"
+
+
 def write_csv(df: DataFrame, uri: str) -> None:
-    """A filtered table as CSV files with headers: no row limit, no sort, one file per task."""
-    df.drop(ROW_ORDINAL).write.mode("overwrite").option("header", True).option("escape", '"').csv(uri)
+    """A filtered table as CSV files with headers: no row limit, no sort, one file per task.
+
+    A null is an empty cell, an empty text a quoted one. Quotes in a cell are doubled; white space at
+    its ends and line breaks in it are kept.
+    """
+    writer = df.drop(ROW_ORDINAL).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", _MOMENT).csv(uri)
+
+
+def read_csv(spark: SparkSession, uri: str, schema: T.StructType) -> DataFrame:
+    """An exported table with the types it had: identifiers keep leading zeros, empty texts stay apart from nulls.
+
+    Cells are read as text and cast, so a cell that does not fit its type fails the read instead of
+    becoming null. Cells may hold line breaks, so a file is read by one task; an export has many files.
+    """
+    fields = [f for f in schema if f.name != ROW_ORDINAL]
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    reader = spark.read.schema(texts).option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
+    reader = reader.option("emptyValue", _EMPTY_CELL).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    rows = reader.option("maxCharsPerColumn", -1).option("enforceSchema", False).csv(uri)
+    cells = []
+    for f in fields:
+        cell = F.col(f"`{f.name}`")
+        text = F.when(cell == _EMPTY_CELL, F.lit("")).otherwise(cell)
+        cells.append((text if isinstance(f.dataType, T.StringType) else cell.cast(f.dataType)).alias(f.name))
+    return rows.select(*cells)
 
 
 def stamped_name(prefix: str, generated_at: str, suffix: str = "json") -> str:
@@ -57,7 +89,7 @@ def report_rows(tables: dict[str, dict[str, DataFrame]], generated_at: str) -> D
     for dataset, checks in tables.items():
         for check, table in checks.items():
             safe = _json_safe(table)
-            payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), {"ignoreNullFields": "false"})
+            payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), {"ignoreNullFields": "false", **_JSON})
             parts.append(
                 safe.select(
                     F.lit(REPORT_VERSION).alias("schema_version"),
@@ -78,3 +110,33 @@ def write_report(
     # The report has a few rows per column of a dataset: one file.
     report_rows(tables, generated_at).coalesce(1).write.mode("overwrite").json(path)
     return path
+
+
+def read_report(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame]:
+    """The long form of written reports: rows of the version this package writes, and rows of all others.
+
+    `uri` may be one report or a folder pattern of many.
+    """
+    rows = spark.read.schema(REPORT_SCHEMA).json(uri)
+    known = F.col("schema_version").eqNullSafe(REPORT_VERSION)
+    return rows.where(known), rows.where(~known)
+
+
+def report_tables(rows: DataFrame, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """One typed table per check, with the dataset and the report's time; from rows of a known version.
+
+    A payload that does not fit its check's schema fails the read. A number that was null or NaN is
+    null again, never zero.
+    """
+    tables = {}
+    for check, schema in schemas.items():
+        fields = T.StructType([f for f in schema if f.name != "dataset"])
+        payload = F.from_json("payload", fields, {"mode": "FAILFAST", **_JSON})
+        mine = rows.where(F.col("check") == check).select("dataset", "generated_at_utc", payload.alias("_payload"))
+        tables[check] = mine.select("dataset", "generated_at_utc", *[F.col("_payload").getField(f.name).alias(f.name) for f in fields])
+    return tables
+
+
+def unread_checks(rows: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
+    """Checks of a report that no schema is known for, with their rows: (dataset, check, rows)."""
+    return rows.where(~F.col("check").isin(*schemas)).groupBy("dataset", "check").agg(F.count(F.lit(1)).alias("rows"))

@@ -12,12 +12,16 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gridtally.operators.filters import PaymentFilter, failed_files, file_diagnostics, filter_payments
+from gridtally.plans import ingest_job
 from gridtally.plans.ingest_job import (
-    ingest_and_persist, inventory_of, messages_of, persist_dataset, quarantined_rows, read_dataset,
+    _without_files, ingest_and_persist, inventory_of, messages_of, persist_dataset, quarantined_rows, read_dataset,
 )
-from gridtally.plans.pipeline import export_quality, run_pipeline
-from gridtally.sinks.files import stamped_name, write_csv, write_parquet
-from gridtally.sources.csv_source import _header_reader, read_headers
+from gridtally.plans.pipeline import export_quality, run_pipeline, summary
+from gridtally.plans.quality_suite import check_schemas
+from gridtally.sinks.files import (
+    REPORT_SCHEMA, read_csv, read_report, report_tables, stamped_name, unread_checks, write_csv, write_parquet, write_report,
+)
+from gridtally.sources.csv_source import _header_reader, read_group, read_headers
 from gridtally.sources.discovery import discover, list_files
 from gridtally.spec import CONSUMPTION, VEND
 from gridtally.streaming.incremental import ingest_new_files, read_inventory, read_table
@@ -252,10 +256,101 @@ def test_incremental_takes_each_file_once(spark, folder):
     assert status == {"vend-1.csv": "ok", "vend-2 b.csv": "ok", "vend-3.csv": "error"}
 
 
-def test_incremental_refuses_cross_file_dedup(spark, folder):
-    spec = replace(SPEC, duplicate_policy="drop_first", dedup_exclude=("source_file",))
-    with pytest.raises(ValueError):
-        ingest_new_files(spark, spec, f"{folder}/raw", f"{folder}/out", f"{folder}/c")
+@pytest.fixture
+def text_rows(spark, monkeypatch):
+    """Counts the records that scans of CSV text give, over all scans."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        rows = read_group(*args)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(ingest_job, "read_group", counted)
+    return seen
+
+
+@pytest.mark.parametrize("policy, mode", [("fail_file", "keep_all"), ("fail_file", "drop_first"), ("quarantine", "keep_all")])
+def test_text_is_scanned_once_with_and_without_bad_files(spark, folder, text_rows, policy, mode):
+    spec = replace(SPEC, malformed_policy=policy, duplicate_policy=mode)
+    put(folder, "vend-good.csv", VEND_HEADER + "S1,1,A,1,2026-01-10\n" * 2)
+    ingest(spark, folder, spec)
+    assert text_rows.value == 2
+    put(folder, "vend-long.csv", VEND_HEADER + "S3,3,A,1,2026-01-10\nS4,4,A,1,2026-01-10,surplus\n")
+    put(folder, "vend-quote.csv", VEND_HEADER + 'S5,5,A,1,2026-01-10\n"S6,6,A,1,2026-01-10\n')
+    put(folder, "vend-empty.csv", "")
+    done = ingest(spark, folder, spec)
+    assert text_rows.value == 2 + 6
+    kept = {"fail_file": {"S1"}, "quarantine": {"S1", "S3", "S5"}}[policy]
+    # The written table itself holds no row of a failed file.
+    for table in (done.table, spark.read.parquet(done.uri)):
+        assert {r.service_point_no for r in table.collect()} == kept
+        assert table.where("service_point_no = 'S1'").count() == (1 if mode == "drop_first" else 2)
+    status = {n: (r.read_status, r.rows_read) for n, r in inventory(done).items()}
+    lost = ("error", 0) if policy == "fail_file" else ("ok", 1)
+    assert status == {"vend-good.csv": ("ok", 2), "vend-long.csv": lost, "vend-quote.csv": lost, "vend-empty.csv": ("error", 0)}
+
+
+def test_many_failed_files_are_left_out_by_a_join(spark, folder):
+    table = spark.createDataFrame([(i, f"f{i}") for i in range(300)], "v int, source_file string")
+    assert {r.v for r in _without_files(table, [f"f{i}" for i in range(250)]).collect()} == set(range(250, 300))
+
+
+def test_a_dataset_that_breaks_off_leaves_the_others_whole(spark, folder):
+    put(folder, "Jan_consumption.csv", "mtrid,midnightdate\nM1,2026-01-30\n")
+    put(folder, "vend-1.csv", ",".join(VEND.required_columns) + "\nS1,1,A,10,2026-01-10 08:30\n")
+    Path(folder, "out").mkdir()
+    broken = replace(CONSUMPTION, date=replace(CONSUMPTION.date, extra_formats=("not a format {",)))
+    bundle = run_pipeline(spark, [broken, VEND], f"{folder}/raw", f"{folder}/out", dt.datetime(2026, 2, 1))
+    rows = {r.dataset: r for r in summary(spark, bundle).collect()}
+    assert (rows["vend"].ok, rows["vend"].rows, rows["vend"].errors) == (True, 1, 0)
+    assert (rows["consumption"].ok, rows["consumption"].rows) == (False, 0) and rows["consumption"].errors >= 1
+
+
+def test_csv_export_is_read_back_as_it_was(spark, folder):
+    schema = "id string, note string, amount double, day date, at timestamp_ntz, flag boolean"
+    moment = dt.datetime(2026, 1, 2, 3, 4, 5, 678901)
+    rows = [("007", "", 1.5, dt.date(2026, 1, 2), moment, True), ("", None, None, None, None, None), ('a"b', 'say "hi", twice', -0.1, None, None, False),
+            (" pad ", "line one\nline two\r\nthree", 1e300, None, None, None), ("NA", "\\", 0.0, None, None, None), (None, "é,漢", None, None, None, None)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    write_csv(df, f"{folder}/csv")
+    assert sorted(map(repr, read_csv(spark, f"{folder}/csv", df.schema).collect())) == sorted(map(repr, df.collect()))
+    wrong = spark.createDataFrame([], "id int, note string, amount double, day date, at timestamp_ntz, flag boolean").schema
+    with pytest.raises(Exception):
+        read_csv(spark, f"{folder}/csv", wrong).collect()
+
+
+def test_reports_are_read_back_with_their_types(spark, folder):
+    nan, moment = float("nan"), dt.datetime(2026, 1, 2, 3, 4, 5, 678901)
+    table = spark.createDataFrame([("vend", "a", 0.0, 0, moment), ("vend", "b", nan, None, None), ("vend", None, None, 7, None)], "dataset string, item string, x double, n long, at timestamp_ntz")
+    path = write_report(spark, {"vend": {"made_up": table}}, f"{folder}/reports", "2026-02-01T12:00:00Z")
+    other = spark.createDataFrame([("2.0.0", "2026-03-01T00:00:00Z", "vend", "made_up", '{"x": "all different"}'), (None, None, None, "made_up", "{}")], REPORT_SCHEMA)
+    other.write.mode("append").json(path)
+    known, unknown = read_report(spark, f"{folder}/reports/*")
+    assert known.count() == 3 and unknown.count() == 2
+    back = {r["item"]: r for r in report_tables(known, {"made_up": table.schema})["made_up"].collect()}
+    assert (back["a"].x, back["a"].n, back["a"]["at"]) == (0.0, 0, moment)
+    assert (back["b"].x, back["b"].n, back[None].x, back[None].n) == (None, None, None, 7)
+    assert unread_checks(known, {"other": table.schema}).collect() == [("vend", "made_up", 3)]
+    with pytest.raises(Exception):
+        report_tables(unknown.where("schema_version = '2.0.0'"), {"made_up": table.schema})["made_up"].collect()
+
+
+def test_check_schemas_fit_written_reports(spark, folder):
+    put(folder, "vend-1.csv", ",".join(VEND.required_columns) + "\nS1,1,A,10,2026-01-10 08:30\nS1,1,A,10,09:15\n")
+    bundle = run_pipeline(spark, [VEND], f"{folder}/raw", f"{folder}/out", dt.datetime(2026, 2, 1))
+    path = export_quality(spark, bundle, f"{folder}/export", dt.datetime(2026, 2, 1, tzinfo=dt.UTC))
+    known, unknown = read_report(spark, path)
+    schemas = check_schemas(spark, VEND)
+    assert unknown.count() == 0 and unread_checks(known, schemas).count() == 0
+    tables = report_tables(known, schemas)
+    for check, table in bundle.quality["vend"].checks.items():
+        assert sorted(map(repr, tables[check].select(*table.columns).collect())) == sorted(map(repr, table.collect())), check
 
 
 def test_header_task_runs_where_the_package_is_not_installed(folder):

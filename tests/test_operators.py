@@ -442,3 +442,24 @@ def test_overview_and_metadata(spark, folder):
         ("mtrid", "consumption"), ("servicepointno", "vend"), ("meterno", "vend"),
     ]
     assert tuple(profile.field_snapshot(spark, [(VEND, df)], 1).first()) == ("vend", "id")
+
+
+def test_key_check_counts_nulls_and_copies(spark):
+    df = spark.createDataFrame([("S1", "M1"), ("S1", "M2"), ("S2", None), (None, "M3"), ("S3", "M4"), ("S3", "M4")], "servicepointno string, meterno string")
+    got = {r.field: r for r in profile.key_check(df, VEND).collect()}
+    one, both = got["servicepointno"], got["servicepointno + meterno"]
+    assert (one.rows, one.null_rows, one.distinct_keys, one.most_rows, one.unique) == (6, 1, 3, 2, False)
+    assert (both.null_rows, both.distinct_keys, both.most_rows, both.distinct_pct) == (2, 3, 2, 75.0)
+    unique = profile.key_check(df.limit(0).unionByName(spark.createDataFrame([("S1", "M1"), ("S2", "M1")], df.schema)), VEND, pairs=False)
+    assert {r.field: r.unique for r in unique.collect()} == {"servicepointno": True, "meterno": False}
+    assert all(not r.unique and r.rows == 0 for r in profile.key_check(df.limit(0), VEND).collect())
+
+
+def test_column_bytes_come_from_footers(spark, folder):
+    df = spark.range(0, 5000, 1, 3).selectExpr("id", "'same' as label", "if(id % 2 = 0, null, uuid()) as noise", "named_struct('a', id) as s")
+    df.write.parquet(f"{folder}/t")
+    got = {r.column: r for r in profile.column_bytes(spark, f"{folder}/t").collect()}
+    assert set(got) == {"id", "label", "noise", "s.a"}
+    assert all(r["values"] == 5000 and r.files == 3 and r.stored_bytes > 0 for r in got.values())
+    assert got["noise"].stored_bytes > got["label"].stored_bytes
+    assert sum(r.stored_bytes for r in got.values()) < profile.stored_bytes(spark, f"{folder}/t")
