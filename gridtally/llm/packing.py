@@ -33,8 +33,8 @@ from tokenizers import Tokenizer
 from gridtally.llm.common import stored, text_of
 from gridtally.llm.textbuf import Words, buffer_of, slices, tidied
 
-#: Bytes of words and ids that a worker remembers; beyond that it starts anew.
-REMEMBERED = 48 << 20
+#: Bytes of words and ids that a worker remembers.
+REMEMBERED = 64 << 20
 #: Longer words are not remembered.
 LONGEST = 64
 #: Words of letters that have one lower case and one normal form, with the signs that may follow.
@@ -58,7 +58,11 @@ WORDWISE = {
 
 
 class Memory:
-    """A parsed vocabulary and the ids of words met so far, bounded in bytes."""
+    """A parsed vocabulary and the ids of words met lately, bounded in bytes.
+
+    Words lie in two halves. When the new half is full the old one is forgotten and the halves change
+    places; a word found in the old half moves to the new one, so frequent words stay.
+    """
 
     def __init__(self, vocabulary: str, limit: int = REMEMBERED) -> None:
         rules = json.loads(vocabulary)
@@ -66,15 +70,20 @@ class Memory:
         self.key = hashlib.sha256(vocabulary.encode()).hexdigest()
         self.tokenizer, self.signs = Tokenizer.from_str(vocabulary), byte_signs()
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.bytes, self.limit = 0, limit
 
+    def get(self, text: str) -> tuple[int, ...] | None:
+        """Ids of a word that is not in the new half, if the old one has them."""
+        got = self.old.get(text)
+        return None if got is None else self.keep(text, got)
+
     def keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(text) <= LONGEST:
             # A text, a tuple and its numbers, and their place in the dictionary.
             size = 240 + len(text) + 36 * len(ids)
-            if self.bytes + size > self.limit:
-                self.ids.clear()
-                self.bytes = 0
+            if 2 * (self.bytes + size) > self.limit:
+                self.old, self.ids, self.bytes = self.ids, {}, 0
             self.ids[text] = ids
             self.bytes += size
         return ids
@@ -96,10 +105,10 @@ def _encoder(memory: Memory):
     the ids of a text are those of its parts. Simple words go straight to the merges; all others
     take the whole way.
     """
-    tokenizer, known, signs, merge = memory.tokenizer, memory.ids, memory.signs, memory.tokenizer.model.tokenize
+    tokenizer, signs, merge = memory.tokenizer, memory.signs, memory.tokenizer.model.tokenize
 
     def part(text: str) -> tuple[int, ...]:
-        got = known.get(text)
+        got = memory.ids.get(text) or memory.get(text)
         if got is None:
             seen = text if text.isascii() else "".join(signs[b] for b in text.encode())
             got = memory.keep(text, tuple([t.id for t in merge(seen)]))
@@ -115,7 +124,7 @@ def _encoder(memory: Memory):
                 letters, after = simple.groups()
                 out.append(part(letters.lower()) + part(after) if after else part(letters.lower()))
             else:
-                out.append(known.get(word))
+                out.append(memory.ids.get(word) or memory.get(word))
                 if out[-1] is None:
                     hard.append((len(out) - 1, word))
         for i in range(0, len(hard), 4096):

@@ -27,6 +27,9 @@ from gridtally.llm.textbuf import Words, binary_array, buffer_of, encode, line_r
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
+#: Bytes of text worked on at once: its n-grams take some eighty times as much.
+SLICE = 1 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -136,7 +139,7 @@ def scorer(model: Model | None, settings: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = Words(*buffer_of(part.column("text")))
                 ids, kinds = words.encoded()
                 got = base_counts(words, ids, max(len(kinds), 1))
@@ -176,7 +179,7 @@ def distinct_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
 def _vectors(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", SLICE):
                 words = Words(*buffer_of(part.column("text")))
                 ids, kinds = words.encoded()
                 found = features(words, ids, kinds, settings.bits)
@@ -260,7 +263,7 @@ def filtered(docs: DataFrame, model: Model | None, settings: Settings = Settings
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer(model, settings)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 kept = next(judge(iter([part.select(["doc_id", "text"])]))).column("kept")
                 yield part.filter(kept)
 
