@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.plans.ingest_job import shared_folder
+from gridtally.plans.ingest_job import scratch_folder
 from gridtally.plans.tables import PAYMENTS
 
 CELLS = ("servicepointno", "meterno", "categorycode", "transactionamount", "issuedate")
@@ -16,7 +16,7 @@ EXTRACT = replace(PAYMENTS, file_patterns=("part-*.csv",))
 
 
 def extract_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark, '/tmp/gridtally')}/extract-{uuid.uuid4()}"
+    return f"{scratch_folder(spark)}/extract-{uuid.uuid4()}"
 
 
 def write_extract(rows: DataFrame, uri: str, headers: dict[str, str] | None = None, mode: str = "overwrite") -> None:

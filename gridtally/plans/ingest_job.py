@@ -56,6 +56,15 @@ def shared_folder(spark: SparkSession, fallback: str) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Where none is set a local session takes a folder of this machine; a cluster has none."""
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return shared_folder(spark, "/tmp/gridtally").rstrip("/")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return shared_folder(spark, "").rstrip("/")
+
+
 def message(dataset: str, text: str) -> tuple[str, str, str]:
     """A message with its severity, which follows from how the text starts."""
     if text.startswith("Failed"):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.operators.transforms import transform
-from gridtally.plans.ingest_job import shared_folder
+from gridtally.plans.ingest_job import scratch_folder
 from gridtally.spec import CONSUMPTION, VEND
 
 # Measures of the given tables have two decimals.
@@ -49,7 +49,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: what the pipeline checks and queries."""
-    uri = f"{shared_folder(df.sparkSession, '/tmp/gridtally')}/table-{uuid.uuid4()}"
+    uri = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(uri)
     return df.sparkSession.read.parquet(uri)
 
