@@ -9,12 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.plans.ingest_job import shared_folder
+from gridtally.plans.ingest_job import scratch_folder
 
 
 def new_uri(spark: SparkSession, name: str) -> str:
     """A fresh place in the folder that all executors share."""
-    return f"{shared_folder(spark, '/tmp/gridtally').rstrip('/')}/llm-{name}-{uuid.uuid4()}"
+    return f"{scratch_folder(spark)}/llm-{name}-{uuid.uuid4()}"
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -67,31 +67,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges of a node from which it counts as a hub.
+HUB = 500
+
+
+def _joined(rows: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """rows (a, b) with `m`, the least of node a. Rows of hubs stay where they are, so no task gets all of one."""
+    marked = rows.join(hubs.select("a", F.col("m").alias("_hub")), "a", "left")
+    cold = marked.where("_hub IS NULL").join(least.where(F.col("n") <= HUB).select("a", "m"), "a").select("a", "b", "m")
+    return marked.where("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("m")).unionAll(cold)
+
+
+def smallest_reachable(edges: DataFrame, hub_rows: int = 100_000) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges no longer change. Each step is a
-    grouped minimum and a join, so a node with very many edges is folded before the shuffle, and
-    the rows never exceed twice the edges. Each round is a stored table.
+    Alternates the large-star and small-star steps until the edges no longer change, which takes about
+    the square of the logarithm of the nodes at most. A node's least neighbour is a grouped minimum, so
+    a node with very many edges is folded before the shuffle; those nodes' minima are then broadcast
+    where they were counted to be few, so that the edges of a hub stay spread. The rows never exceed
+    twice the edges. Each round is a stored table.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def starred(rows: DataFrame, least: DataFrame) -> DataFrame:
+        least = stored(least, "least")
+        hubs = least.where(F.col("n") > HUB)
+        some = hubs.limit(hub_rows + 1).count()
+        # Without hubs, or with too many to broadcast, the nodes meet their minima by key.
+        return _joined(rows, least, F.broadcast(hubs)) if 0 < some <= hub_rows else rows.join(least.select("a", "m"), "a")
+
     table = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # Every larger neighbour of a node points at the smallest of its neighbourhood.
         near = both(table)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = starred(near.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Every node's smaller neighbours point at the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        table = stored(small.where("a <> b").distinct(), "edges")
+        large = stored(large, "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small_star = starred(large, least).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        table = stored(small_star.where("a <> b").distinct(), "edges")
         now = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the components did not settle")
     roots = table.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return table.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -139,10 +140,38 @@ def test_sharding(messy, nothing):
     assert sharding.sharded(nothing).count() == 0
 
 
-def test_schedule_is_balanced_when_groups_are_bundled(spark):
-    df = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(1 + id % 97 as int)) || id as text")
-    load = [r["s"] for r in sharding.sharded(df, shards=8, resolution=100).groupBy("shard").sum("size").withColumnRenamed("sum(size)", "s").collect()]
-    assert len(load) == 8 and max(load) - min(load) < 0.01 * max(load)
+def test_schedule_equals_a_plain_heap():
+    rng = np.random.default_rng(8)
+    for shards in (1, 3, 8):
+        for turn in range(60):
+            classes = {int(s): int(n) for s, n in zip(rng.integers(1, 60, 6), rng.integers(1, (5, 60, 3000)[turn % 3], 6), strict=True)}
+            heap, want = [(0, k) for k in range(shards)], []
+            for size in sorted(classes, reverse=True):
+                got = [0] * shards
+                for _ in range(classes[size]):
+                    load, k = heapq.heappop(heap)
+                    heapq.heappush(heap, (load + size, k))
+                    got[k] += 1
+                want.append((size, got))
+            assert sharding.schedule(classes.items(), shards) == want
+
+
+def test_sharding_with_and_without_hot_groups(spark):
+    """A third of all rows are one text; loads are those of a heap over all groups, and groups stay whole."""
+    df = spark.range(9_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', repeat('x', cast(1 + id % 97 as int)) || id % 4000) as text").repartition(6)
+    groups = Counter()
+    for r in df.collect():
+        groups[r["text"]] += len(r["text"]) + 1
+    heap = [0] * 8
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heappush(heap, heapq.heappop(heap) + size)
+    for hot_share in (10_000, 2):
+        places = sharding.assigned(df, 8, hot_share).collect()
+        loads, where = Counter(), defaultdict(set)
+        for r in places:
+            loads[r["shard"]] += r["size"]
+            where[r["size"], r["text_crc32"]].add(r["shard"])
+        assert len(places) == 9_000 and sorted(loads.values()) == sorted(heap) and all(len(s) == 1 for s in where.values())
 
 
 # --- SimHash ---
@@ -447,3 +476,33 @@ def test_packing_with_a_vocabulary_of_other_rules(messy):
         for k in range(0, len(ids), 4096):
             want[i, k // 4096, zlib.crc32(ids[k : k + 4096].tobytes())] += 1
     assert got == want
+
+
+# --- components ---
+
+
+def test_components_of_hubs_chains_and_rings(spark, monkeypatch):
+    """With few edges for a hub, both ways of joining, and a chain longer than any number of rounds."""
+    from gridtally.llm import common
+
+    monkeypatch.setattr(common, "HUB", 5)
+    rng = np.random.default_rng(2)
+    edges = [(500, 1000 + i) for i in range(300)] + [(3, 500)] + [(2000 + i, 2001 + i) for i in range(150)] + [(4000 + i, 4000 + (i + 1) % 9) for i in range(9)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(5000, 5200, (120, 2))] + [(7, 7)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low_, high = sorted((find(a), find(b)))
+            root[high] = low_
+    want = {(x, find(x)) for x in root}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub_rows in (100_000, 0):
+        got = common.smallest_reachable(df, hub_rows)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert common.smallest_reachable(df.limit(0)).count() == 0
