@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtally.llm.common import plainly_named, stored
@@ -33,9 +33,11 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class: labelled rows used of each class at most. bits: size of each hash table."""
+    """per_class: labelled rows, and texts, used of each class at most. sample_bytes: size of these texts
+    of a class at most; the driver gets some ten times that as features. bits: size of each hash table."""
 
     per_class: int = 1500
+    sample_bytes: int = 16 << 20
     bits: int = 16
     steps: int = 80
     penalty: float = 1e-5
@@ -163,16 +165,21 @@ def sample_of(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def distinct_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y): sample_of without repeated rows, and at most per_class texts of each class if ids repeat with other texts."""
+def distinct_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, class_bytes: int) -> DataFrame:
+    """(doc_id, text, y): sample_of without repeated rows. Of each class at most per_class texts, if ids
+    repeat with other texts, and texts of at most class_bytes together."""
     sample = stored(sample_of(docs, labels, target, per_class).dropDuplicates(["doc_id", "text", "y"]), "labelled-sample")
-    if all(r["count"] <= per_class for r in sample.groupBy("y").count().collect()):
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    if all(r["n"] <= per_class and r["size"] <= class_bytes for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.sum(size).alias("size")).collect()):
         return sample
     # By a hash of the text first, so that no id is taken before another.
     mark = F.xxhash64("doc_id", "text")
-    marks = sample.select(mark.alias("mark"), "doc_id", "y")
+    marks = sample.select(mark.alias("mark"), "doc_id", "y", size.alias("size"))
     order = ["mark", "doc_id"]
-    chosen = marks.where("y = 0").orderBy(*order).limit(per_class).unionAll(marks.where("y = 1").orderBy(*order).limit(per_class))
+    some = marks.where("y = 0").orderBy(*order).limit(per_class).unionAll(marks.where("y = 1").orderBy(*order).limit(per_class))
+    # Two times per_class narrow rows at most are summed up in order.
+    until = F.sum("size").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = some.withColumn("until", until).where(F.col("until") <= class_bytes).select("mark", "doc_id", "y")
     return sample.withColumn("mark", mark).join(F.broadcast(chosen), ["mark", "doc_id", "y"], "left_semi").select("doc_id", "text", "y")
 
 
@@ -198,7 +205,7 @@ def _vectors(settings: Settings):
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on the sample; None without rows of both classes. The sample alone reaches the driver."""
-    sample = distinct_sample(docs, labels, "quality", settings.per_class)
+    sample = distinct_sample(docs, labels, "quality", settings.per_class, settings.sample_bytes)
     rows = sample.mapInArrow(tidied(_vectors(settings)), "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():

@@ -3,12 +3,13 @@
 A lexicon transducer turns each word into a symbol with a weight: insult, threat, target, negation,
 reported speech or other. Small transducers then read the symbols of a clause: negation weakens
 what follows it closely, reported speech weakens what is quoted, a target before or after an insult
-strengthens it, a threat without target weakens. They are composed into one table before any text
+strengthens it, a threat weakens until a target before or after it is found. They are composed into one table before any text
 is read, and a clause scores the weights on its path. Clauses without insult or threat score
 nothing and are not run. A document's clause scores become a probability through a calibrated
 logistic curve.
 
-Insults are learned: from a bounded sample of labelled rows (`Settings.per_class`), words and word
+Insults are learned: from a bounded sample of labelled rows (`Settings.per_class` and
+`Settings.sample_bytes`), words and word
 beginnings are counted by class, and those that best explain toxic documents are chosen one by one,
 each for documents the earlier ones leave unexplained, so that words which only come along in
 copies of a toxic document are not chosen. The other word lists are fixed.
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtally.llm.common import stored
-from gridtally.llm.quality import sample_of
+from gridtally.llm.quality import distinct_sample
 from gridtally.llm.textbuf import Words, buffer_of, slices
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
@@ -46,13 +47,15 @@ REPORTS = "said says say wrote writes claimed claims quoted reported according s
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class: labelled rows used of each class at most. most_stems: size of the learned lexicon.
+    """per_class: labelled rows, and texts, used of each class at most. sample_bytes: size of these texts
+    of a class at most. most_stems: size of the learned lexicon.
 
     shortest, longest: letters of a learned word beginning. least_percent: of the toxic texts that a
     stem must explain beyond those chosen before it.
     """
 
     per_class: int = 2000
+    sample_bytes: int = 32 << 20
     most_stems: int = 300
     shortest: int = 3
     longest: int = 8
@@ -80,13 +83,13 @@ def negation(reach: int = 3) -> dict:
             if symbol == NEGATION:
                 table[state, symbol] = (reach, 1.0)
             else:
-                table[state, symbol] = (max(state - 1, 0), 0.3 if state and symbol in (INSULT, THREAT) else 1.0)
+                table[state, symbol] = (max(state - 1, 0), 0.3 if state and symbol in (INSULT, THREAT, TARGET) else 1.0)
     return table
 
 
 def reported() -> dict:
-    """State 1 follows a verb of saying, to the end of the clause."""
-    return {(state, symbol): (int(state or symbol == REPORTED), 0.5 if state and symbol in (INSULT, THREAT) else 1.0) for state in (0, 1) for symbol in range(6)}
+    """State 1 follows a verb of saying, to the end of the clause: there insults and threats are not the writer's."""
+    return {(state, symbol): (int(state or symbol == REPORTED), 0.5 if state and symbol in (INSULT, THREAT, TARGET) else 1.0) for state in (0, 1) for symbol in range(6)}
 
 
 def targeted() -> dict:
@@ -99,9 +102,27 @@ def targeted() -> dict:
     return table
 
 
-def closing() -> dict:
-    """State 1 follows an insult or threat; a target right after it adds to the score."""
-    return {(state, symbol): (int(symbol in (INSULT, THREAT)), 0.2 if state and symbol == TARGET else 0.0 if symbol == TARGET else 1.0) for state in (0, 1) for symbol in range(6)}
+def closing(reach: int = 3) -> dict:
+    """Weights of targets that come late. States: whether a target came before, and what is open.
+
+    Open is "close" right after an insult or a threat that had its target: one more adds a little. Or
+    it is the number of words in which a threat that had none still finds one: then the target brings
+    what the threat lacked. A target weighs nothing anywhere else.
+    """
+    table = {}
+    for seen in (False, True):
+        for open_ in ("", "close", *range(1, reach + 1)):
+            left = open_ if isinstance(open_, int) else 0
+            for symbol in range(6):
+                factor, after = 1.0, left - 1 if left > 1 else ""
+                if symbol == TARGET:
+                    factor, after = (1.2 if left else 0.2 if open_ == "close" else 0.0), ""
+                elif symbol == INSULT or (symbol == THREAT and seen):
+                    after = "close"
+                elif symbol == THREAT:
+                    after = reach
+                table[(seen, open_), symbol] = ((seen or symbol == TARGET, after), factor)
+    return table
 
 
 def compose(a: dict, b: dict) -> dict:
@@ -112,7 +133,7 @@ def compose(a: dict, b: dict) -> dict:
 def grammar() -> list[list[tuple[int, float]]]:
     """The composed table, states numbered from the start state: next state and factor by symbol."""
     table = reduce(compose, (negation(), reported(), targeted(), closing()))
-    start = (((0, 0), 0), 0)
+    start = (((0, 0), 0), (False, ""))
     numbers, queue = {start: 0}, [start]
     rows: list[list[tuple[int, float]]] = []
     while len(rows) < len(queue):
@@ -157,6 +178,32 @@ def _symbol(word: str, model: Model, reach: list[int]) -> tuple[int, float]:
     return OTHER, 0.0
 
 
+# Signs that end a clause, and those that open and close a quotation.
+ENDING = (b".", b",", b";", b":", b"!", b"?")
+OPENING = tuple(q.encode() for q in "\"\u201c\u201e\u00ab\u2018")
+CLOSING = tuple(q.encode() for q in "\"\u201d\u00bb")
+
+
+def clause_ends(words: Words, ids: np.ndarray, kinds: list[bytes], symbol: np.ndarray) -> np.ndarray:
+    """Whether a clause ends with each word.
+
+    It ends at a sign of its own, where a quotation closes, at a line feed and at the text's end. A
+    comma or colon does not end it where a quotation opens, or right after a verb of saying: what was
+    said belongs to the clause that reports it.
+    """
+    bare_ends = [w.rstrip(b"\"')]*") for w in kinds]
+    signs = np.array([w[-1:] in ENDING for w in bare_ends])[ids]
+    mild = np.array([w[-1:] in (b",", b":") for w in bare_ends])[ids]
+    closes = np.array([len(w) > 1 and w.rstrip(b".,;:!?)]*").endswith(CLOSING) for w in kinds])[ids]
+    opens = np.array([w.startswith(OPENING) for w in kinds])[ids]
+    goes_on = mild & ~closes & (symbol == REPORTED)
+    goes_on[:-1] |= (mild & ~closes)[:-1] & opens[1:]
+    ends = (signs & ~goes_on) | closes
+    feeds = np.concatenate([[0], np.cumsum(words.data == 10)])
+    ends[:-1] |= (feeds[words.starts[1:]] > feeds[words.ends[:-1]]) | (words.text[1:] != words.text[:-1])
+    return ends
+
+
 def clause_scores(words: Words, model: Model, table: list) -> tuple[np.ndarray, np.ndarray]:
     """Text index and score of every clause that has an insult or threat."""
     ids, kinds = words.encoded()
@@ -167,9 +214,7 @@ def clause_scores(words: Words, model: Model, table: list) -> tuple[np.ndarray,
     found = [_symbol(bare(w), model, reach) for w in distinct]
     symbol = np.array([f[0] for f in found], dtype=np.int8)[ids]
     weight = np.array([f[1] for f in found])[ids]
-    ends = np.array([w.rstrip(b"\"')]*")[-1:] in (b".", b",", b";", b":", b"!", b"?") for w in distinct])[ids]
-    feeds = np.concatenate([[0], np.cumsum(words.data == 10)])
-    ends[:-1] |= (feeds[words.starts[1:]] > feeds[words.ends[:-1]]) | (words.text[1:] != words.text[:-1])
+    ends = clause_ends(words, ids, distinct, symbol)
     clause = np.concatenate([[0], np.cumsum(ends[:-1])])
     hit = np.unique(clause[(symbol == INSULT) | (symbol == THREAT)])
     first, last = np.searchsorted(clause, hit), np.searchsorted(clause, hit, side="right")
@@ -267,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Lexicon and curve from the labelled rows that are not held out."""
     model = fixed_lexicon()
     usable = labels.where(~held_out())
-    sample = stored(sample_of(docs, usable, "toxic", settings.per_class).dropDuplicates(["text", "y"]), "toxicity-sample")
+    sample = distinct_sample(docs, usable, "toxic", settings.per_class, settings.sample_bytes)
+    sample = stored(sample.dropDuplicates(["text", "y"]), "toxicity-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return model

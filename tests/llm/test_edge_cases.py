@@ -72,6 +72,81 @@ def test_grammar_weighs_clauses():
     assert clause_score("not now. idiot") == clause_score("now. idiot")  # a clause ends the negation
 
 
+def plain_clause_scores(text, model):
+    """Scores of a text's clauses in order: clauses cut word by word, and the four transducers run one beside the other."""
+    words = [(w, b) for row in text.split("\n") for k, (w, b) in enumerate([(w, False) for w in WORD.findall(row)] + [("", True)]) if w or b]
+    reach = sorted({len(x) for x in model.start}, reverse=True)
+    clauses, clause = [], []
+    for k, (w, feed) in enumerate(words):
+        if feed:
+            clauses, clause = [*clauses, clause], []
+            continue
+        raw = w.encode()
+        symbol, weight = toxicity._symbol(toxicity.bare(raw), model, reach)
+        clause.append((symbol, weight))
+        last = raw.rstrip(b"\"')]*")[-1:]
+        closes = len(raw) > 1 and raw.rstrip(b".,;:!?)]*").endswith(toxicity.CLOSING)
+        following = words[k + 1][0].encode() if k + 1 < len(words) and not words[k + 1][1] else b""
+        stays = last in (b",", b":") and not closes and (symbol == toxicity.REPORTED or following.startswith(toxicity.OPENING))
+        if closes or (last in toxicity.ENDING and not stays):
+            clauses, clause = [*clauses, clause], []
+    clauses.append(clause)
+    out = []
+    for clause in clauses:
+        if any(x in (toxicity.INSULT, toxicity.THREAT) for x, _ in clause):
+            tables = [(toxicity.negation(), 0), (toxicity.reported(), 0), (toxicity.targeted(), 0), (toxicity.closing(), (False, ""))]
+            states, total = [start for _, start in tables], 0.0
+            for symbol, weight in clause:
+                for k, (table, _) in enumerate(tables):
+                    states[k], factor = table[states[k], symbol]
+                    weight *= factor
+                total += weight
+            out.append(total)
+    return out
+
+
+def test_composed_table_equals_the_transducers_run_apart():
+    from gridtally.llm.textbuf import Words
+
+    rng, model, table = np.random.default_rng(6), toxicity.fixed_lexicon(), toxicity.grammar()
+    parts = ["you", "idiot", "kill", "not", "said", "time", "the", "idiots,", "said:", '"you', 'scum"', "hurt.", "wrote,", '"idiot"', "them", "never", "moron!", "\n", "«kill", "du»", "said,"]
+    texts = [" ".join(rng.choice(parts, size=int(n))) for n in rng.integers(0, 40, 400)]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    text, scores = toxicity.clause_scores(Words(data, np.cumsum([0, *map(len, raw)])), model, table)
+    for k, t in enumerate(texts):
+        assert np.allclose(scores[text == k], plain_clause_scores(t, model)), t
+
+
+def test_reported_speech_crosses_what_opens_a_quotation():
+    plain = clause_score("you are an idiot")
+    for text in ("he said you are an idiot", "he said: you are an idiot.", 'she wrote, "you are an idiot"', "er sagte: „you are an idiot”"):
+        assert np.isclose(clause_score(text), plain / 2), text
+    # After the quotation the writer speaks again; a comma alone still ends a clause.
+    assert np.isclose(clause_score('she wrote "hello there" you are an idiot'), plain)
+    assert np.isclose(clause_score("he said so, you are an idiot"), plain)
+
+
+def test_a_target_after_a_threat_counts():
+    assert np.isclose(clause_score("kill you"), clause_score("you will kill"))
+    assert np.isclose(clause_score("kill all of them"), clause_score("kill you"))
+    assert clause_score("kill some time with a book about them") == clause_score("kill time") < clause_score("kill you")
+    assert np.isclose(clause_score("do not kill you"), 0.3 * clause_score("kill you"))
+
+
+def test_sample_is_bounded_in_texts_and_bytes(spark):
+    rows = [(i % 10, f"text {i} " + "x" * 1000) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    whole = quality.distinct_sample(docs, marks, "quality", 1000, 1 << 30)
+    assert whole.count() == 400
+    few = quality.distinct_sample(docs, marks, "quality", 50, 1 << 30)
+    assert {r["y"]: r["count"] for r in few.groupBy("y").count().collect()} == {0: 50, 1: 50}
+    small = quality.distinct_sample(docs, marks, "quality", 50, 20_500).collect()
+    assert Counter(r["y"] for r in small) == {0: 20, 1: 20} and all(sum(len(r["text"]) for r in small if r["y"] == y) <= 20_500 for y in (0, 1))
+    assert sorted(small) == sorted(quality.distinct_sample(docs.repartition(7), marks, "quality", 50, 20_500).collect())
+
+
 # --- repeated spans ---
 
 
