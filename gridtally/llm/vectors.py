@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import smallest_reachable, stored
+from gridtally.llm.common import small, smallest_reachable, stored
 
 
 @dataclass(frozen=True)
 class Settings:
     """tables: at least so many; more where `recall` needs them. probes: buckets of each table that a
-    node goes into. part_rows: nodes of a part of a bucket."""
+    node goes into. part_rows: nodes of a part of a bucket. number: how components are kept; the hashes
+    and cosines are in double precision."""
 
     tables: int = 4
     recall: float = 0.97
@@ -43,6 +44,7 @@ class Settings:
     probes: int = 4
     cosine: float = 0.93
     part_rows: int = 10_000
+    number: str = "<f8"
     seed: int = 11
 
 
@@ -127,29 +129,34 @@ def plan(nodes: int, width: int, s: Settings) -> tuple[Settings, int]:
     raise ValueError(f"{s.most_tables} tables do not find pairs at cosine {s.cosine}")
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
+def unit_rows(raw: list[bytes], number: str = "<f8") -> np.ndarray:
     """Unit vectors in double precision, padded with zeros to a power of two."""
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
+    x = np.frombuffer(b"".join(raw), dtype=number).astype(np.float64).reshape(len(raw), -1)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
     return np.pad(x, ((0, 0), (0, d - x.shape[1]))) if d != x.shape[1] else x
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, embedding) to (vec_id, node, label, vector): node is null where nothing can link."""
-    for batch in batches:
-        nodes, vectors = [], []
-        for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            raw = None
-            if label is not None and v and None not in v:
-                x = np.array(v, dtype=np.float64) + 0.0  # a negative zero equals zero
-                largest = np.abs(x).max()
-                if np.isfinite(x).all() and largest > 0:
-                    # Scaled by a power of two, so that no square overflows or vanishes.
-                    raw = np.ldexp(x, -int(np.frexp(largest)[1])).tobytes() if not 1e-100 < largest < 1e100 else x.tobytes()
-            vectors.append(raw)
-            nodes.append(None if raw is None else hashlib.md5(label.encode() + b"\0" + raw).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.binary()), batch.column("label"), pa.array(vectors, pa.binary())], names=["vec_id", "node", "label", "vector"])
+def usable(number: str):
+    """Task: (vec_id, label, embedding) to (vec_id, node, label, vector); node is null where nothing can link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, vectors = [], []
+            for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+                raw = None
+                if label is not None and v and None not in v:
+                    x = np.array(v, dtype=np.float64) + 0.0  # a negative zero equals zero
+                    largest = np.abs(x).max()
+                    if np.isfinite(x).all() and largest > 0:
+                        # Scaled by a power of two, so that no square overflows or vanishes.
+                        x = np.ldexp(x, -int(np.frexp(largest)[1])) if not 1e-100 < largest < 1e100 else x
+                        raw = x.astype(number).tobytes()
+                vectors.append(raw)
+                nodes.append(None if raw is None else hashlib.md5(label.encode() + b"\0" + raw).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.binary()), batch.column("label"), pa.array(vectors, pa.binary())], names=["vec_id", "node", "label", "vector"])
+
+    return run
 
 
 def hasher(s: Settings, rotations: int):
@@ -163,15 +170,15 @@ def hasher(s: Settings, rotations: int):
                 at = np.flatnonzero(sizes == size)
                 for i in range(0, len(at), 2048):
                     some = at[i : i + 2048]
-                    x = unit_rows([raw[k] for k in some])
+                    x = unit_rows([raw[k] for k in some], s.number)
                     # A batch for each table: all together could outgrow the memory.
                     for table in range(s.tables):
                         found = table_buckets(x, s, rotations, table)
                         rows, probe = np.nonzero(found >= 0)
                         own = pa.array(some[rows])
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("label").take(own), pa.array(np.full(len(rows), table, np.int32)), pa.array(found[rows, probe]), batch.column("node").take(own), batch.column("n").take(own), batch.column("vector").take(own)],
-                            names=["label", "bank", "bucket", "node", "n", "vector"])
+                            [batch.column("label").take(own), pa.array(np.full(len(rows), table, np.int32)), pa.array(found[rows, probe]), batch.column("node").take(own)],
+                            names=["label", "bank", "bucket", "node"])
 
     return run
 
@@ -208,7 +215,7 @@ def checker(s: Settings, rotations: int):
             return {}
         own = np.array([r[4] for r in rows])
         count = np.array([r[6] for r in rows])
-        x = unit_rows([r[7] for r in rows])
+        x = unit_rows([r[7] for r in rows], s.number)
         across = part >= 0 and part >> 32 != part & 0xFFFFFFFF
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         codes: np.ndarray | None = None
@@ -267,23 +274,33 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
 
 def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
+    # Single precision holds what came in single precision; all other numbers are kept as doubles.
+    single = vectors.select("embedding").schema[0].dataType.simpleString() == "array<float>"
+    settings = replace(settings, number="<f4" if single else "<f8")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = stored(rows.mapInArrow(_usable, "vec_id long, node binary, label string, vector binary"), "vectors")
+    rows = stored(rows.mapInArrow(usable(settings.number), "vec_id long, node binary, label string, vector binary"), "vectors")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "vector-nodes")
     # One row per label; the largest decides how fine the buckets are.
-    size = nodes.groupBy("label").agg(F.count("*").alias("k"), (F.max(F.octet_length("vector")) / 8).cast("int").alias("width")).agg(F.max("k"), F.max("width")).first()
+    width = F.max(F.octet_length("vector")) / np.dtype(settings.number).itemsize
+    size = nodes.groupBy("label").agg(F.count("*").alias("k"), width.cast("int").alias("width")).agg(F.max("k"), F.max("width")).first()
     s, rotations = plan(size[0] or 1, size[1] or 2, settings)
-    coded = nodes.select("label", "node", "n", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary, n long, vector binary")
-    key = ["label", "bank", "bucket"]
-    hot = nodes.select("label", "node", "n", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary, n long, vector binary").groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > s.part_rows)
-    hot = stored(hot.select(*key, F.ceil(F.col("k") / s.part_rows).cast("int").alias("parts")), "hot-buckets")
-    dealt = coded.withColumns({"part": F.lit(-1).cast("long"), "own": F.lit(0)})
+    # Hashed once, and dealt without the vectors: most buckets hold one node.
+    coded = nodes.select("label", "node", "vector").mapInArrow(hasher(s, rotations), "label string, bank int, bucket long, node binary")
+    coded = stored(coded.withColumn("key", F.xxhash64("label", "bank", "bucket")), "vector-buckets")
+    # Buckets whose hashes collide are counted together here; they are told apart again below.
+    counts = coded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    crowd = stored(counts.select("key", F.ceil(F.col("k") / s.part_rows).cast("int").alias("parts")), "vector-crowds")
+    met = coded.join(crowd.where("parts = 1").select("key"), "key", "left_semi").withColumns({"part": F.lit(-1).cast("long"), "own": F.lit(0)})
+    hot = crowd.where("parts > 1")
     if not hot.isEmpty():
+        # No more hot buckets than rows by part_rows. Their rows stay spread until they are dealt as pairs of parts.
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least("own", j).cast("long"), 32) + F.greatest("own", j))
-        joined = coded.join(hot, key, "left").withColumn("own", F.coalesce(own, F.lit(0)))
-        dealt = joined.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs))).drop("parts")
-    dealt = dealt.repartition(*key, "part").sortWithinPartitions(*key, "part")
+        split = coded.join(small(hot), "key").withColumn("own", own).withColumn("part", F.explode(pairs))
+        met = met.unionByName(split.select(*met.columns))
+    met = met.drop("key").join(nodes.select("node", "n", "vector"), "node")
+    key = ["label", "bank", "bucket"]
+    dealt = met.select(*key, "part", "own", "node", "n", "vector").repartition(*key, "part").sortWithinPartitions(*key, "part")
     links = stored(dealt.mapInArrow(checker(s, rotations), "node binary, root binary, links long"), "vector-links")
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     reach = smallest_reachable(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "top")
