@@ -21,6 +21,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from gridtally.llm.common import stored, text_of
 from gridtally.llm.textbuf import Words, buffer_of, slices, tidied
 
 #: Bytes of words and ids that a worker remembers.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 #: Longer words are not remembered.
 LONGEST = 64
 #: Words of letters that have one lower case and one normal form, with the signs that may follow.
@@ -69,19 +70,19 @@ class Memory:
         self.wordwise = all(rules.get(k) == v for k, v in WORDWISE.items()) and not any(t["content"].split() != [t["content"]] for t in rules["added_tokens"])
         self.key = hashlib.sha256(vocabulary.encode()).hexdigest()
         self.tokenizer, self.signs = Tokenizer.from_str(vocabulary), byte_signs()
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bytes, self.limit = 0, limit
 
-    def get(self, text: str) -> tuple[int, ...] | None:
+    def get(self, text: str) -> bytes | None:
         """Ids of a word that is not in the new half, if the old one has them."""
         got = self.old.get(text)
         return None if got is None else self.keep(text, got)
 
-    def keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= LONGEST:
-            # A text, a tuple and its numbers, and their place in the dictionary.
-            size = 240 + len(text) + 36 * len(ids)
+            # A text, its ids, and their place in the dictionary.
+            size = 200 + len(text) + len(ids)
             if 2 * (self.bytes + size) > self.limit:
                 self.old, self.ids, self.bytes = self.ids, {}, 0
             self.ids[text] = ids
@@ -99,7 +100,7 @@ def worker_memory(vocabulary: str) -> Memory:
 
 
 def _encoder(memory: Memory):
-    """Ids of distinct words, from the worker's memory where possible.
+    """Ids of distinct words as unsigned 32-bit numbers, from the worker's memory where possible.
 
     The vocabulary's rule cuts at white space, letters and signs, and looks at each part alone, so
     the ids of a text are those of its parts. Simple words go straight to the merges; all others
@@ -107,15 +108,15 @@ def _encoder(memory: Memory):
     """
     tokenizer, signs, merge = memory.tokenizer, memory.signs, memory.tokenizer.model.tokenize
 
-    def part(text: str) -> tuple[int, ...]:
+    def part(text: str) -> bytes:
         got = memory.ids.get(text) or memory.get(text)
         if got is None:
             seen = text if text.isascii() else "".join(signs[b] for b in text.encode())
-            got = memory.keep(text, tuple([t.id for t in merge(seen)]))
+            got = memory.keep(text, array("I", [t.id for t in merge(seen)]).tobytes())
         return got
 
-    def ids_of(words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...] | None] = []
+    def ids_of(words: list[bytes]) -> list[bytes]:
+        out: list[bytes | None] = []
         hard: list[tuple[int, str]] = []
         for raw in words:
             word = raw.decode()
@@ -130,7 +131,7 @@ def _encoder(memory: Memory):
         for i in range(0, len(hard), 4096):
             some = hard[i : i + 4096]
             for (k, word), e in zip(some, tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False), strict=True):
-                out[k] = memory.keep(word, tuple(e.ids))
+                out[k] = memory.keep(word, array("I", e.ids).tobytes())
         return out
 
     return ids_of
@@ -148,8 +149,8 @@ def text_ids(data: np.ndarray, offsets: np.ndarray, ids_of, end_id: int) -> tupl
     words = Words(data, offsets)
     index, kinds = words.encoded()
     of_kind = ids_of(kinds.to_pylist())
-    size = np.fromiter(map(len, of_kind), dtype=np.int64, count=len(of_kind))
-    flat = np.fromiter(itertools.chain.from_iterable(of_kind), dtype=np.uint32, count=int(size.sum()))
+    size = np.fromiter(map(len, of_kind), dtype=np.int64, count=len(of_kind)) // 4
+    flat = np.frombuffer(b"".join(of_kind), dtype=np.uint32)
     first = np.cumsum(size) - size
     count = size[index] if len(index) else np.zeros(0, np.int64)
     until = np.concatenate([[0], np.cumsum(count)])

@@ -534,9 +534,9 @@ def test_packing_memory_is_one_per_worker_and_bounded(monkeypatch):
     ids_of, tokenizer = packing._encoder(small), Tokenizer.from_file(PATH)
     for turn in range(5):
         words = _words(100 + turn, 5_000) + [b"Caf\xc3\xa9!", b"x" * 5_000, "漢字".encode(), b"it's"]
-        assert ids_of(words) == [tuple(tokenizer.encode(w.decode(), add_special_tokens=False).ids) for w in words]
+        assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in ids_of(words)] == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
         held = [*small.ids, *small.old]
-        assert 250 * len(held) <= 1 << 20 and all(len(w) <= packing.LONGEST for w in held)
+        assert 200 * len(held) <= 1 << 20 and all(len(w) <= packing.LONGEST for w in held)
 
 
 def test_packing_with_a_vocabulary_of_other_rules(messy):
