@@ -78,7 +78,8 @@ def test_quality_counts_are_one_scan(table, plan_of):
     assert len(scans(plan)) == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"csv_ingest", "file_inventory", "incremental_ingest"}))
+# Footers of files are read in Python: `stored_columns` gets names of files there, and no rows.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"csv_ingest", "file_inventory", "incremental_ingest", "stored_columns"}))
 def test_no_python_and_no_cross_join_in_queries(spark, plan_of, name):
     plan = plan_of(QUERIES[name](spark, SF))
     for word in ("PythonUDF", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
