@@ -15,6 +15,9 @@ doc_id goes. The work is cut so that equal strings meet without sorting the suff
 
 Exact copies of a smaller doc_id's whole text go as a whole and take no part in the search.
 
+A document's shared anchors are gathered by doc_id. Ids that very many rows have (null among them) are
+dealt to parts by their texts, each distinct text once, so that a list holds the anchors of few texts.
+
 Anchors that very many documents share are told apart while the text is read (they repeat within
 one slice) or when their documents are counted; their snippets are first folded to distinct ones,
 and then their windows are compared by grouped minima, so no task ever holds all documents of a
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import partitions, stored, text_of
+from gridtally.llm.common import partitions, small, stored, text_of
 from gridtally.llm.textbuf import buffer_of, slices
 
 GRAM = 24
@@ -48,6 +51,8 @@ HASH_BITS = 58
 COMMON = 32
 #: Documents with an anchor from which on it counts as very common wherever they lie.
 MANY = 20_000
+#: Rows of one doc_id from which on they are dealt to parts of about as many rows.
+REPEATS = 64
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -105,14 +110,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def anchors(length: int, receivers: int):
-    """Task: (doc_id, text) to packed anchors, one row per slice and receiver.
+    """Task: (doc_id, part, text) to packed anchors, one row per slice and receiver.
 
-    hashes: sorted differences. owners: places in docs, twice, plus one for a stand-in of a common
+    docs and parts: one entry per text; no parts at all where all are 0. hashes: sorted differences. owners: places in docs, twice, plus one for a stand-in of a common
     anchor. known rows hold common anchors themselves: they need no partner.
     """
 
-    def rows(receiver: int, known: bool, h: np.ndarray, owner: np.ndarray, docs: bytes) -> tuple:
-        return receiver, known, zlib.compress(_packed(np.diff(h, prepend=0)), 1), zlib.compress(_packed(owner), 1), docs
+    def rows(receiver: int, known: bool, h: np.ndarray, owner: np.ndarray, docs: bytes, parts: bytes) -> tuple:
+        return receiver, known, zlib.compress(_packed(np.diff(h, prepend=0)), 1), zlib.compress(_packed(owner), 1), docs, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,55 +135,58 @@ def anchors(length: int, receivers: int):
                 stand_in = np.zeros(len(h), dtype=bool)
                 stand_in[first[count >= COMMON]] = True
                 docs = zlib.compress(_packed(np.diff(part.column("doc_id").to_numpy(), prepend=0)), 1)
+                parts = part.column("part").to_numpy()
+                parts = zlib.compress(_packed(parts), 1) if parts.any() else b""
                 out = []
                 if common.any():
-                    out.append(rows(int(h[0] % receivers), True, h[common], text[common], docs))
+                    out.append(rows(int(h[0] % receivers), True, h[common], text[common], docs, parts))
                 test = ~common | stand_in
                 h, owner = h[test], 2 * text[test] + stand_in[test]
                 # A receiver has a range of hashes, so its part is one stretch.
                 to = ((h >> (HASH_BITS - 31)) * receivers) >> 31
                 edges = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                 for a, b in zip(edges, np.append(edges[1:], len(h)), strict=True):
-                    out.append(rows(int(to[a]), False, h[a:b], owner[a:b], docs))
+                    out.append(rows(int(to[a]), False, h[a:b], owner[a:b], docs, parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *(pa.array([r[k] for r in out], pa.binary()) for k in (2, 3, 4))],
-                    names=["receiver", "known", "hashes", "owners", "docs"])
+                    [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *(pa.array([r[k] for r in out], pa.binary()) for k in (2, 3, 4, 5))],
+                    names=["receiver", "known", "hashes", "owners", "docs", "parts"])
 
     return run
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: the packed anchors of some receivers to (doc_id, anchor, common) of the shared ones."""
+    """Task: the packed anchors of some receivers to (doc_id, part, anchor, common) of the shared ones."""
 
-    def rows(doc: np.ndarray, h: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(doc: np.ndarray, part: np.ndarray, h: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(h), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(h[s]), pa.array(common[s])], names=["doc_id", "anchor", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(part[s]), pa.array(h[s]), pa.array(common[s])], names=["doc_id", "part", "anchor", "common"])
 
     def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, doc, stand_in = (np.concatenate([x[k] for x in held]) for k in range(3))
+        h, doc, stand_in, part = (np.concatenate([x[k] for x in held]) for k in range(4))
         order = np.lexsort((doc, h))
-        h, doc, stand_in = h[order], doc[order], stand_in[order]
+        h, doc, stand_in, part = h[order], doc[order], stand_in[order], part[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         last = np.append(first[1:], len(h)) - 1
         size = last - first + 1
         common = np.repeat(np.logical_or.reduceat(stand_in, first) | (size >= MANY), size)
         take = (np.repeat(doc[first] != doc[last], size) | common) & ~stand_in
-        yield from rows(doc[take], h[take], common[take])
+        yield from rows(doc[take], part[take], h[take], common[take])
 
     held, at = [], None
     for batch in batches:
-        for receiver, known, hashes, owners, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for receiver, known, hashes, owners, docs, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids = np.cumsum(_unpacked(zlib.decompress(docs)))
+            of_id = _unpacked(zlib.decompress(parts)).astype(np.int32) if parts else np.zeros(len(ids), dtype=np.int32)
             h, owner = np.cumsum(_unpacked(zlib.decompress(hashes))), _unpacked(zlib.decompress(owners))
             if known:
-                yield from rows(ids[owner], h, np.ones(len(h), dtype=bool))
+                yield from rows(ids[owner], of_id[owner], h, np.ones(len(h), dtype=bool))
                 continue
             if receiver != at and held:
                 yield from settled(held)
                 held = []
             at = receiver
-            held.append((h, ids[owner >> 1], (owner & 1).astype(bool)))
+            held.append((h, ids[owner >> 1], (owner & 1).astype(bool), of_id[owner >> 1]))
     if held:
         yield from settled(held)
 
@@ -385,7 +393,7 @@ def folded_common(rows: DataFrame, length: int) -> DataFrame:
     null in all other rows would cost more on their way to Python than the search itself.)
 
     Equal snippets are folded first, then equal windows of distinct snippets; both before a shuffle.
-    The places of a snippet are dealt to many rows by doc_id.
+    The places of a snippet are dealt to many rows by document.
     """
     deal = partitions(rows.sparkSession)
     distinct = stored(rows.groupBy("snippet").agg(F.min("doc_id").alias("least")), "span-common")
@@ -394,7 +402,7 @@ def folded_common(rows: DataFrame, length: int) -> DataFrame:
     least = windows.groupBy("window").agg(F.min("least").alias("smallest"))
     judged = windows.join(least, "window").groupBy("snippet").agg(F.sort_array(F.collect_list(F.struct("bit", "smallest"))).alias("judged"))
     judged = judged.select("snippet", F.transform("judged", lambda w: w["smallest"]).alias("smallest"))
-    places = rows.groupBy("snippet", F.pmod(F.xxhash64("doc_id"), F.lit(deal)).alias("dealt")).agg(F.collect_list(F.struct("doc_id", "row", "start")).alias("places"))
+    places = rows.groupBy("snippet", F.pmod(F.xxhash64("doc_id", "row"), F.lit(deal)).alias("dealt")).agg(F.collect_list(F.struct("doc_id", "row", "start")).alias("places"))
     return places.join(judged, "snippet").select("snippet", F.to_json(F.struct("smallest", "places")).alias("folded"))
 
 
@@ -406,6 +414,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
 
 
+def parted(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """rows and copies with `part`, and whether any id has parts.
+
+    part is 0, or from 1 on where more than REPEATS rows have the doc_id; there, rows of one text are
+    one, as what is found for one goes for all of them.
+    """
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > REPEATS)
+    often = stored(counted, "span-ids")
+    if often.isEmpty():
+        return rows.withColumn("part", F.lit(0)), copies.withColumn("part", F.lit(0)), False
+    often = small(often)
+    part = F.coalesce(1 + F.pmod("row", F.expr("n div %d" % REPEATS)), F.lit(0)).cast("int").alias("part")
+    marked = rows.join(often, "doc_id", "left")
+    many = marked.where("n IS NOT NULL").groupBy("doc_id", "row", "n").agg(F.first("text").alias("text"))
+    many = stored(many.select("doc_id", "row", "text", part), "span-repeated", "zstd")
+    few = marked.where("n IS NULL").select("doc_id", "row", "text", part)
+    return few.unionAll(many), copies.join(often, "doc_id", "left").select("doc_id", "row", part), True
+
+
 def masks(docs: DataFrame, copies: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, row, start, mask): of the windows that start at `start` and after, those repeated from a smaller doc_id.
 
@@ -418,11 +445,15 @@ def masks(docs: DataFrame, copies: DataFrame, length: int = 50) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About four million anchors a receiver at most.
     receivers = 4 * max(partitions(spark), total // (64 << 20))
-    sent = rows.select("doc_id", "text").mapInArrow(anchors(length, receivers), "receiver int, known boolean, hashes binary, owners binary, docs binary")
-    met = sent.repartition(receivers // 4, "receiver").sortWithinPartitions("receiver").mapInArrow(shared, "doc_id long, anchor long, common boolean")
-    by_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "common")).alias("anchors"))
-    copied = copies.groupBy("doc_id").agg(F.collect_set("row").alias("copied"))
-    with_text = rows.join(by_doc.join(copied, "doc_id", "left"), "doc_id").where(~F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False)))
+    rows, copies, repeated = parted(rows, copies)
+    sent = rows.select("doc_id", "part", "text").mapInArrow(anchors(length, receivers), "receiver int, known boolean, hashes binary, owners binary, docs binary, parts binary")
+    met = sent.repartition(receivers // 4, "receiver").sortWithinPartitions("receiver").mapInArrow(shared, "doc_id long, part int, anchor long, common boolean")
+    if repeated:
+        met = stored(met, "span-shared")
+        met = met.where("part = 0").unionAll(met.where("part > 0").distinct())
+    by_doc = met.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "common")).alias("anchors"))
+    copied = copies.groupBy("doc_id", "part").agg(F.collect_set("row").alias("copied"))
+    with_text = rows.join(by_doc.join(copied, ["doc_id", "part"], "left"), ["doc_id", "part"]).where(~F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False)))
     cut = with_text.select("doc_id", "row", "text", "anchors").mapInArrow(snippets(length), "anchor long, common boolean, snippet binary, doc_id long, row long, start long")
     cut = stored(cut, "span-snippets", "zstd")
     plain = cut.where("not common").drop("common").repartition("anchor").sortWithinPartitions("anchor")
@@ -434,9 +465,10 @@ def masks(docs: DataFrame, copies: DataFrame, length: int = 50) -> DataFrame:
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, row) of the rows whose whole text a smaller doc_id has too."""
+    # Two hashes of different kinds tell texts apart.
     narrow = keyed(docs).select("doc_id", "row", F.unhex(F.md5("text")).alias("key"))
-    groups = narrow.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return stored(narrow.join(groups, "key").where("doc_id > least").select("doc_id", "row").distinct(), "span-copies")
+    groups = narrow.groupBy("key", "row").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(narrow.join(groups, ["key", "row"]).where("doc_id > least").select("doc_id", "row").distinct(), "span-copies")
 
 
 def removed_bytes(size: int, starts: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
@@ -186,6 +187,29 @@ def test_spans_of_common_passages(spark):
     assert Counter(tuple(r)[:5] for r in spans.deduplicated(df.repartition(7)).collect()) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("common", [spans.COMMON, 4])
+def test_spans_where_one_id_has_very_many_rows(spark, monkeypatch, common):
+    # Ids of many rows are dealt to parts: null ids, and one id whose rows repeat each other and others.
+    monkeypatch.setattr(spans, "REPEATS", 5)
+    monkeypatch.setattr(spans, "COMMON", common)
+    unlike = lambda i: "".join(xxhash.xxh64_hexdigest(f"{i} {k}") for k in range(6))
+    passage = [f"a passage number {k} that several of the documents share, {unlike(-k)}; " for k in range(3)]
+    rows = [(None, f"{unlike(i)} {passage[0] if i % 2 else ''}{unlike(i % 7)}", "s") for i in range(40)]
+    rows += [(9, f"{passage[i % 3]}{unlike(1000 + i % 4)}", "s") for i in range(40)] + [(9, rows[3][1], "s")] * 8
+    rows += [(i, f"{unlike(2000 + i)}{passage[i % 3]}{unlike(i)}", "s") for i in range(3, 15)] + [(70, rows[45][1], "s"), (71, None, "s")]
+    df = spark.createDataFrame(documents(rows), DOCS)
+    for turn in (df.coalesce(1), df.repartition(5)):
+        assert Counter(tuple(r)[:5] for r in spans.deduplicated(turn).collect()) == brute_spans(rows)
+
+
+def test_parts_hold_few_texts(spark):
+    rows = spans.keyed(spark.createDataFrame([(None if i % 3 else i, f"text {i % 2000}") for i in range(6000)], "doc_id long, text string"))
+    made, _, any_parts = spans.parted(rows, rows.select("doc_id", "row").limit(0))
+    sizes = {(r["doc_id"], r["part"]): r["count"] for r in made.groupBy("doc_id", "part").count().collect()}
+    assert any_parts and {n for (i, part), n in sizes.items() if part == 0} == {1} and len(sizes) == 2000 + 62
+    assert max(n for (_, part), n in sizes.items() if part) < 2 * spans.REPEATS and sum(n for (_, part), n in sizes.items() if part) == 2000
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(5)
     for letters, n in ((1, 150), (2, 400), (5, 1500), (200, 3000)):
