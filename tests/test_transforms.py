@@ -19,9 +19,9 @@ def column(spark, values, make):
 @pytest.mark.parametrize(
     "name, want",
     [
-        (" Meter ID ", "meter_id"),
-        ("transactionAmount", "transaction_amount"),
-        ("A-B/C", "a_b_c"),
+        ("\tFeeder No. ", "feeder_no"),
+        ("tariffBandOld", "tariff_band_old"),
+        ("CT/PT--ratio (%)", "ct_pt_ratio"),
         ("kWh2Used", "k_wh2_used"),
         ("__x__", "x"),
         ("ABC", "abc"),
@@ -38,9 +38,11 @@ def test_header_names_repeat_and_blank():
 
 
 def test_standardize_columns_returns_mapping(spark):
-    df, mapping = transforms.standardize_columns(spark.createDataFrame([("1", "2")], "`Meter ID` string, `Txn Amount` string"))
-    assert df.columns == ["meter_id", "txn_amount"]
-    assert mapping == {"Meter ID": "meter_id", "Txn Amount": "txn_amount"}
+    # Names that come to the same, and one without a letter, stay apart and in their places.
+    raw = ["Feeder No.", "feederNo", "%", "feeder_no_2"]
+    df, mapping = transforms.standardize_columns(spark.createDataFrame([tuple("abcd")], ", ".join(f"`{n}` string" for n in raw)))
+    assert df.columns == ["feeder_no", "feeder_no_2", "column_2", "feeder_no_2_2"]
+    assert mapping == dict(zip(raw, df.columns)) and tuple(df.first()) == tuple("abcd")
 
 
 def test_null_tokens_apply_before_trimming(spark):
@@ -55,8 +57,9 @@ def test_strip_removes_unicode_space_only_at_the_ends(spark):
 
 
 def test_trim_leaves_other_types(spark):
-    df = transforms.trim_text(spark.createDataFrame([("  A  ", 1), (" B", 2)], "name string, value int"))
-    assert [tuple(r) for r in df.collect()] == [("A", 1), ("B", 2)]
+    day = dt.date(2024, 2, 29)
+    df = transforms.trim_text(spark.createDataFrame([("\tfeeder 7 ", None, 0.5, day, [" x "])], "`a.b` string, note string, load double, day date, tags array<string>"))
+    assert tuple(df.first()) == ("feeder 7", None, 0.5, day, [" x "])
 
 
 def test_to_number(spark):
