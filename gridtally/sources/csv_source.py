@@ -1,6 +1,6 @@
 """CSV files read as text cells, whatever their headers.
 
-Headers are read first, one task per file that stops after its first record. Files whose
+Headers are read first, from the first lines of each file (small files are read whole). Files whose
 standardised columns agree are then read together with an explicit all-text schema, so nothing
 is inferred and identifiers keep their leading zeros.
 """
@@ -10,6 +10,9 @@ from __future__ import annotations
 import csv
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,12 @@ CORRUPT = "_corrupt"
 MALFORMED = "_malformed"
 # Larger than any file: keeps every file in one task of the header job.
 _WHOLE_FILE = str(1 << 42)
+# Files up to this size are read whole for their header, one task each.
+_SMALL_FILE = 16 << 20
+# Lines of a larger file that are looked at first; where its first record is longer, this many times as many.
+_FIRST_LINES, _MORE = 16, 64
+# Larger files in one header job.
+_FILES_PER_JOB = 50
 
 
 @dataclass(frozen=True)
@@ -37,39 +46,84 @@ class FileHeader:
         return ", ".join(f"{a}->{b}" for a, b in zip(self.raw, self.standard))
 
 
-def _header_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _header_reader(most: int | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The task function of the header job. Defined inside so that it travels by value: workers
-    need not have this package installed."""
+    need not have this package installed.
 
-    def first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """First CSV record of the one file of this task; the rest of the file is left unread.
+    most: the task gets the first lines of one or more files, so many of each at most, and not the whole
+    of one file. A first record that goes on beyond them gives its path without cells.
+    """
+
+    class Unended(Exception):
+        pass
 
-        A first record that cannot be read (a quote that never closes) gives nothing: no header.
-        """
-        path: list[str] = []
+    def record(lines: Iterator[tuple[str, str]]) -> list[str] | None:
+        """First CSV record of one file. One that cannot be read (a quote that never closes) is none."""
 
-        def lines() -> Iterator[str]:
-            for batch in batches:
-                for name, line in zip(batch["path"], batch["value"]):
-                    path[:] = [name]
-                    yield line.lstrip("\ufeff") + "\n"
+        def cleaned() -> Iterator[str]:
+            seen = 0
+            for seen, (_, line) in enumerate(lines, 1):
+                yield line.lstrip("\ufeff") + "\n"
+            if seen == most:
+                raise Unended
 
         try:
-            header = next((cells for cells in csv.reader(lines()) if cells), None)
+            return next((cells for cells in csv.reader(cleaned()) if cells), None)
         except csv.Error:
-            header = None
-        if header is not None:
-            yield pd.DataFrame({"path": path, "cells": [header]})
+            return None
+
+    def first_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(batch["path"], batch["value"]))
+        for path, lines in groupby(rows, key=itemgetter(0)):
+            try:
+                header = record(lines)
+            except Unended:
+                yield pd.DataFrame({"path": [path], "cells": [None]})
+            else:
+                if header is not None:
+                    yield pd.DataFrame({"path": [path], "cells": [header]})
+            if most is None:
+                return
+
+    return first_records
+
+
+def _whole_headers(job: SparkSession, files: list[RawFile]) -> dict[str, list[str]]:
+    """Header cells by path; every file is read whole by one task."""
+    text_rows = job.read.text([literal_path(f.path) for f in files]).where("_metadata.file_block_start = 0")
+    lines = text_rows.select(F.col("_metadata.file_path").alias("path"), "value")
+    found = lines.mapInPandas(_header_reader(), "path string, cells array<string>").collect()
+    return {plain_path(r["path"]): r["cells"] for r in found}
 
-    return first_record
+
+def _first_headers(job: SparkSession, files: list[RawFile]) -> dict[str, list[str]]:
+    """Header cells by path, from the first lines of every file.
+
+    A task in Python is fed its whole input even if it stops at the first row, so the limit comes before
+    it. Files whose first record goes on beyond the limit are looked at again with more lines.
+    """
+    cells: dict[str, list[str]] = {}
+    most, left = _FIRST_LINES, files
+    while left:
+        longer = []
+        job.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(most, 1024)))
+        for i in range(0, len(left), _FILES_PER_JOB):
+            some = left[i : i + _FILES_PER_JOB]
+            heads = [job.read.text(literal_path(f.path)).select(F.col("_metadata.file_path").alias("path"), "value").limit(most) for f in some]
+            rows = reduce(DataFrame.unionAll, heads).mapInPandas(_header_reader(most), "path string, cells array<string>").collect()
+            found = {plain_path(r["path"]): r["cells"] for r in rows}
+            cells.update({p: c for p, c in found.items() if c is not None})
+            longer += [f for f in some if f.path in found and found[f.path] is None]
+        most, left = most * _MORE, longer
+    return cells
 
 
 def read_headers(spark: SparkSession, files: list[RawFile]) -> tuple[list[FileHeader], list[RawFile]]:
     """Header of every file, and the files that have none.
 
-    The header job runs in its own session: its settings (one file per task, small batches) must
-    not touch the caller's. Each task stops after one record, so the cost follows the number of
-    files and not their size.
+    The header jobs run in their own session: their settings (one file per task, small batches) must
+    not touch the caller's. Of a large file only the first lines are read, so no task reads more than
+    a small file.
     """
     if not files:
         return [], []
@@ -77,10 +131,9 @@ def read_headers(spark: SparkSession, files: list[RawFile]) -> tuple[list[FileHe
     job.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
     job.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
     job.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    text_rows = job.read.text([literal_path(f.path) for f in files]).where("_metadata.file_block_start = 0")
-    lines = text_rows.select(F.col("_metadata.file_path").alias("path"), "value")
-    found = lines.mapInPandas(_header_reader(), "path string, cells array<string>").collect()
-    cells = {plain_path(r["path"]): r["cells"] for r in found}
+    small = [f for f in files if f.size <= _SMALL_FILE]
+    cells = _whole_headers(job, small) if small else {}
+    cells.update(_first_headers(job, [f for f in files if f.size > _SMALL_FILE]))
     headers, empty = [], []
     for file in files:
         if file.path in cells:

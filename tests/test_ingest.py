@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import subprocess
 import sys
+import uuid
+from collections import Counter
 from dataclasses import replace
 from pathlib import Path
 
@@ -21,6 +23,7 @@ from gridtally.plans.quality_suite import check_schemas
 from gridtally.sinks.files import (
     REPORT_SCHEMA, read_csv, read_report, report_tables, stamped_name, unread_checks, write_csv, write_parquet, write_report,
 )
+from gridtally.sources import csv_source
 from gridtally.sources.csv_source import _header_reader, read_group, read_headers
 from gridtally.sources.discovery import discover, list_files
 from gridtally.spec import CONSUMPTION, VEND
@@ -76,6 +79,35 @@ def test_headers_bom_quotes_and_blank_lines(spark, folder):
     assert [f.name for f in empty] == ["vend-3.csv", "vend-4.csv"]
 
 
+def test_headers_of_large_files_come_from_their_first_lines(spark, folder, monkeypatch):
+    """Every case of a header, and how many lines of a file reach the task that looks for it."""
+    monkeypatch.setattr(csv_source, "_SMALL_FILE", 1_000, raising=False)
+    put(folder, "vend-1.csv", b"\xef\xbb\xbf\n" + b'"Meter, No",b\n' + b"1,2\n" * 2_000)
+    put(folder, "vend-2.csv", '"' + "two\nlines" * 50 + '",b\n' + "1,2\n" * 2_000)
+    put(folder, "vend-3.csv", "\n" * 2_000)
+    put(folder, "vend-4.csv", '"never closed ' + "x\n" * 200_000)
+    put(folder, "vend-5.csv", "small,file\n" + "1,2\n" * 30)
+    make = csv_source._header_reader
+
+    def counting(*most):
+        task, told = make(*most), f"{folder}/fed-"
+
+        def run(batches):
+            all_of = list(batches)
+            for path, n in Counter(Path(p).name for b in all_of for p in b["path"]).items():
+                Path(f"{told}{path}-{uuid.uuid4()}").write_text(str(n))
+            yield from task(iter(all_of))
+
+        return run
+
+    monkeypatch.setattr(csv_source, "_header_reader", counting)
+    headers, empty = read_headers(spark, files_of(spark, folder))
+    assert [h.raw for h in headers] == [("Meter, No", "b"), ("two\nlines" * 50, "b"), ("small", "file")]
+    assert [f.name for f in empty] == ["vend-3.csv", "vend-4.csv"]
+    fed = {n: max(int(p.read_text()) for p in Path(folder).glob(f"fed-vend-{n}.csv-*")) for n in (1, 2, 5)}
+    assert fed == {1: 16, 2: 1024, 5: 31}
+
+
 def test_files_with_different_headers_are_merged_by_name(spark, folder):
     put(folder, "vend-1.csv", VEND_HEADER + "S1,007,A,10.5,2026-01-10 08:30\nS2,008,NA,x,09:45\n")
     put(folder, "vend-2.csv", "issuedate,extra,Meter No\n,e,009\n")
