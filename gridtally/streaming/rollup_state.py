@@ -9,11 +9,14 @@ file versions that have been replaced since (see `refresh`).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtally.functions.numbers import mean, total
+from gridtally.plans.ingest_job import shared_folder
 from gridtally.sinks import versioned
 from gridtally.sinks.versioned import Part
 from gridtally.spec import SOURCE_FILE, DatasetSpec
@@ -51,24 +54,38 @@ def _sum(column: Column, spec: DatasetSpec) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast(_sum_type(spec))
 
 
+def _needed(table: DataFrame, spec: DatasetSpec) -> list[str]:
+    """The columns that rollups read."""
+    names = {SOURCE_FILE, spec.measure, spec.second_measure, spec.date.parsed, spec.date.is_time_only, *(k for keys in rollups_of(spec).values() for k in keys)}
+    return [c for c in table.columns if c in names]
+
+
 def partials(table: DataFrame, spec: DatasetSpec, batch: int) -> DataFrame:
-    """The partial aggregates of a batch. Each rollup reads its own few columns of the table."""
+    """The partial aggregates of a batch. Each rollup reads its own few columns of the table.
+
+    Rollups that come to the same groups, as the source file is always one of their keys, are one aggregate.
+    """
 
     def of(name: str) -> Column:
         return F.col(name) if name in table.columns else F.lit(None)
 
     flag = spec.date.is_time_only
-    parts = []
+    groups: dict[frozenset[str], list[tuple[str, tuple[str, ...]]]] = {}
     for rollup, keys in rollups_of(spec).items():
-        names = [of(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys, 1)]
-        if len(names) == 1:
-            names.append(F.lit(None).cast("string").alias("key2"))
-        parts.append(table.groupBy(*names, of(SOURCE_FILE).cast("string").alias("source")).agg(
+        groups.setdefault(frozenset((*keys, SOURCE_FILE)), []).append((rollup, keys))
+    parts = []
+    for alike in groups.values():
+        names = list(dict.fromkeys(k for _, keys in alike for k in (*keys, SOURCE_FILE)))
+        cells = {k: f"group{i}" for i, k in enumerate(names)}
+        kinds = [F.struct(F.lit(rollup).alias("rollup"), *[(F.col(cells[keys[i]]) if i < len(keys) else F.lit(None).cast("string")).alias(f"key{i + 1}") for i in range(2)])
+                 for rollup, keys in alike]
+        parts.append(table.groupBy(*[of(k).cast("string").alias(c) for k, c in cells.items()]).agg(
             F.count(F.lit(1)).alias("rows"), F.count(of(spec.measure)).alias("counted"),
             _sum(of(spec.measure), spec).alias("total"), _sum(of(spec.second_measure or spec.measure), spec).alias("second_total"),
             F.min(of(spec.date.parsed).cast("timestamp_ntz")).alias("low"), F.max(of(spec.date.parsed).cast("timestamp_ntz")).alias("high"),
             (F.count_if(F.col(flag)) if flag in table.columns else F.lit(0).cast("bigint")).alias("flagged"),
-        ).select(F.lit(rollup).alias("rollup"), F.lit(batch).cast("bigint").alias("batch"), "*"))
+        ).select(F.explode(F.array(*kinds)).alias("kind"), "*").select("kind.*", F.col(cells[SOURCE_FILE]).alias("source"), F.lit(batch).cast("bigint").alias("batch"),
+                 "rows", "counted", "total", "second_total", "low", "high", "flagged"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -95,6 +112,11 @@ def update(spark: SparkSession, spec: DatasetSpec, uri: str, batch: int, table:
         folder = versioned.new_folder(uri)
         _merged(rows, _KEYS, spec).select(*schema.names).sort(*_KEYS).write.parquet(folder)
         older = [Part(folder, None, min(p.low for p in older), max(p.high for p in older))]
+    # The rollups read the batch's rows once each; what made the rows is run once.
+    staged = f"{shared_folder(spark, uri.rstrip('/') + '_stage')}/rollup-{uuid.uuid4()}"
+    narrow = table.select(*_needed(table, spec))
+    narrow.write.parquet(staged)
+    table = spark.read.schema(narrow.schema).parquet(staged)
     folder = versioned.new_folder(uri)
     # In the order of the keys, so that a reader of one rollup skips the others' row groups.
     partials(table, spec, batch).sortWithinPartitions(*_KEYS).write.parquet(folder)
