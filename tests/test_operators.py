@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from collections import Counter, defaultdict
 from dataclasses import replace
 
@@ -463,3 +464,19 @@ def test_column_bytes_come_from_footers(spark, folder):
     assert all(r["values"] == 5000 and r.files == 3 and r.stored_bytes > 0 for r in got.values())
     assert got["noise"].stored_bytes > got["label"].stored_bytes
     assert sum(r.stored_bytes for r in got.values()) < profile.stored_bytes(spark, f"{folder}/t")
+
+
+def test_many_copies_are_told_apart_without_grouping_whole_rows(spark, plan_of):
+    nan = float("nan")
+    values = [("a", None, 1.0), (None, "a", 1.0), ("a", None, 1.0), ("a", "b", 0.0), ("a", "b", -0.0), ("a", "b", nan), ("a", "b", nan), (None, None, None), (None, None, None), ("ab", "", 1.0), ("a", "b", 1.0)]
+    rows = [(*v, "f" if i % 2 else "g", i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "x string, y string, z double, source_file string, row_ordinal int")
+    for limit in (0, 100):
+        groups = dedupe.duplicate_groups(df, ["source_file"], limit)
+        assert sorted(r.copies for r in groups.collect()) == [2, 2, 2, 2]
+        assert dedupe.duplicate_row_count(df, ["source_file"], limit).first()[0] == 4
+        for keep, gone in (("first", {2, 4, 6, 8}), ("last", {0, 3, 5, 7})):
+            kept = dedupe.drop_copies(df.withColumn("source_file", F.lit("f")), keep, ["source_file"], limit)
+            assert {r.row_ordinal for r in kept.collect()} == set(range(11)) - gone
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan_of(dedupe.extra_copies(dedupe.duplicate_groups(df, (), 0))))
+    assert any("_key1" in k for k in keys) and not any(re.search(r"\b[xyz]#", k) for k in keys)
