@@ -250,11 +250,16 @@ def persist_dataset(
             ok, text = write_parquet(staged, uri, partition_by)
     inventory = file_inventory(spark, raw, staged)
     rows = staged.count()
+    dropped = None
+    if dropping:
+        # What the drop left out are the duplicates: they are not searched for a second time.
+        ok, text = write_parquet(drop_copies(staged, mode.removeprefix("drop_"), spec.dedup_exclude), uri, partition_by)
+        dropped = rows - spark.read.schema(schema).parquet(uri).count() if ok else None
     if not raw.headers:
         notes.append(message(spec.name, f"No valid {spec.name} files were ingested."))
         before = after = 0
     else:
-        before = duplicate_row_count(staged, spec.dedup_exclude).first()[0]
+        before = duplicate_row_count(staged, spec.dedup_exclude).first()[0] if dropped is None else dropped
         after = 0 if dropping else before
         notes += [message(spec.name, t) for t in Deduplicated(staged, staged, mode).messages(before)]
         notes.append(
@@ -264,9 +269,6 @@ def persist_dataset(
                 f"{before:,} duplicate rows before policy, {after:,} after policy.",
             )
         )
-    if dropping:
-        kept = drop_copies(staged, mode.removeprefix("drop_"), spec.dedup_exclude) if before else staged
-        ok, text = write_parquet(kept, uri, partition_by)
     if ok:
         name = uri.rstrip("/").rsplit("/", 1)[-1]
         text = f"Wrote {name} with {rows - (before - after):,} rows."

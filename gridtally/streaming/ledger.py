@@ -14,17 +14,15 @@ about 10**-15.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtally.operators.transforms import data_columns
+from gridtally.operators.dedupe import KEYS, with_keys  # noqa: F401  (with_keys: what the ledger's callers hash rows by)
 from gridtally.sinks import versioned
 from gridtally.sinks.versioned import Part, Version
 
-KEYS = ["_key1", "_key2"]
 SCHEMA = T.StructType([*[T.StructField(c, T.LongType()) for c in (*KEYS, "batch")], T.StructField("bucket", T.IntegerType())])
 BUCKET_BITS = 6
 #: Keys of a batch that are sent to every executor: eight megabytes.
@@ -33,22 +31,6 @@ BROADCAST_KEYS = 500_000
 MOST_PARTS = 16
 
 
-def with_keys(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
-    """df with the two hashes of each row. Cells are hashed with their column's name and combined in any
-    order, so neither the order of columns nor columns full of nulls matter."""
-
-    def cell(name: str, kind: T.DataType, seed: int) -> Column:
-        value = F.col(f"`{name}`")
-        # Both zeros are one value.
-        value = value + F.lit(0.0) if isinstance(kind, (T.DoubleType, T.FloatType)) else value
-        return F.when(value.isNotNull(), F.xxhash64(F.lit(seed), F.lit(name), value)).otherwise(F.lit(0).cast("bigint"))
-
-    names = [c for c in data_columns(df) if c not in exclude]
-    kinds = {f.name: f.dataType for f in df.schema}
-    return df.withColumns({
-        key: reduce(lambda a, b: a.bitwiseXOR(b), [cell(c, kinds[c], seed) for c in names]) for seed, key in enumerate(KEYS)})
-
-
 def _bucketed(keys: DataFrame) -> DataFrame:
     return keys.withColumn("bucket", F.shiftrightunsigned(KEYS[0], 64 - BUCKET_BITS).cast("int"))
 
@@ -72,11 +54,13 @@ def _write(keys: DataFrame, uri: str, low: int, high: int) -> Part:
 def seen_before(spark: SparkSession, uri: str, keyed: DataFrame, batch: int, limit: int = BROADCAST_KEYS) -> DataFrame:
     """(_key1, _key2, owner) of the batch's rows that earlier batches had; owner is the last of these batches.
 
-    A batch of few keys is sent to the ledger, which then is not shuffled; a large one meets it by key.
+    A batch of few rows is sent to the ledger, which then is not shuffled; a large one meets it by key.
+    Its rows are counted, not its distinct keys, which would have to be shuffled for it.
     """
-    ledger = _read(spark, _older(versioned.current(spark, uri), batch), batch)
+    older = _older(versioned.current(spark, uri), batch)
+    ledger = _read(spark, older, batch)
     mine = _bucketed(keyed.select(*KEYS).distinct())
-    mine = F.broadcast(mine) if mine.limit(limit + 1).count() <= limit else mine
+    mine = F.broadcast(mine) if older and keyed.limit(limit + 1).count() <= limit else mine
     return ledger.join(mine, [*KEYS, "bucket"], "left_semi").groupBy(*KEYS).agg(F.max("batch").alias("owner"))
 
 

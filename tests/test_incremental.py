@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 from collections import Counter
 from dataclasses import replace
@@ -292,3 +293,29 @@ def test_a_killed_write_leaves_the_old_table(spark, folder, monkeypatch):
     assert versioned.current(spark, uri).number == 1
     versioned.overwrite_partitions(spark.createDataFrame([(3, "a")], "v int, m string"), uri, "m")
     assert {r.v for r in versioned.read_table(spark, uri).collect()} == {2, 3}
+
+
+def test_a_batch_is_made_once_for_all_its_rollups(spark, folder):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def meter(number):
+        made.add(1)
+        return f"M{number % 3}"
+
+    rows = spark.range(90).select(
+        meter(F.col("id")).alias("mtrid"), F.col("id").cast("double").alias("kwh_consumption"), F.lit("a.csv").alias("source_file"), F.lit(dt.date(2026, 1, 1)).alias("date"))
+    rollup_state.update(spark, READINGS, f"{folder}/state", 0, rows)
+    assert made.value == 90
+    state = rollup_state.State(spark, READINGS, f"{folder}/state")
+    expected = {f"M{k}": float(sum(range(k, 90, 3))) for k in range(3)}
+    assert {r.mtrid: r.total_value for r in state.totals("by_mtrid").collect()} == expected
+    assert {(r.mtrid, r.source_file): r.total_value for r in state.source_breakdown("mtrid").collect()} == {(m, "a.csv"): v for m, v in expected.items()}
+
+
+def test_a_large_batch_is_not_shuffled_to_be_counted(spark, folder):
+    rows = ledger.with_keys(spark.range(50).selectExpr("id % 10 as a"), ())
+    ledger.enter(spark, f"{folder}/book", rows.where("a < 4"), 0)
+    for limit in (5, 100):
+        assert ledger.seen_before(spark, f"{folder}/book", rows, 1, limit).count() == 4
+    assert ledger.seen_before(spark, f"{folder}/other", rows, 0).count() == 0

@@ -394,3 +394,13 @@ def test_header_task_runs_where_the_package_is_not_installed(folder):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, env={"PATH": ""})
     assert done.stdout.strip() == "['a', 'b']", done.stderr
+
+
+def test_a_dropping_ingest_does_not_search_copies_twice(spark, folder, monkeypatch):
+    put(folder, "vend-1.csv", VEND_HEADER + "S1,1,A,1,2026-01-10\n" * 3 + "S2,2,A,1,2026-01-10\n")
+    monkeypatch.setattr(ingest_job, "duplicate_row_count", None)
+    spec = replace(VEND, duplicate_policy="drop_first", required_columns=SPEC.required_columns)
+    done = ingest_job.persist_dataset(spark, spec, files_of(spark, folder, spec), f"{folder}/table")
+    assert done.table.count() == 2
+    assert any("2 duplicate rows before policy, 0 after" in m[2] for m in done.messages)
+    assert any("with 2 rows" in m[2] for m in done.messages)
