@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtally.llm.common import partitions, small, stored, text_of
-from gridtally.llm.textbuf import buffer_of, slices
+from gridtally.llm.textbuf import buffer_of, slices, tidied
 
 GRAM = 24
 NO_ID = -(1 << 63)
@@ -121,7 +121,7 @@ def anchors(length: int, receivers: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 text, _, _, h = runs(*buffer_of(part.column("text")), length)
                 if not len(h):
                     continue
@@ -199,7 +199,7 @@ def snippets(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, offsets = buffer_of(part.column("text"))
                 text, start, count, h = runs(data, offsets, length)
                 lists = part.column("anchors")
@@ -331,7 +331,7 @@ def decide(snippet: pa.Array, doc: np.ndarray, length: int) -> np.ndarray:
     return np.add.reduceat(gone.astype(np.int64) << bit, until[:-1])
 
 
-def decider(length: int, most: int = 1 << 20):
+def decider(length: int, most: int = 1 << 19):
     """Task: snippets sorted by anchor to (doc_id, row, start, mask), whole anchors at a time.
 
     Folded rows come decided: the smallest doc of each window, and the places that have the snippet.
@@ -446,21 +446,21 @@ def masks(docs: DataFrame, copies: DataFrame, length: int = 50) -> DataFrame:
     # About four million anchors a receiver at most.
     receivers = 4 * max(partitions(spark), total // (64 << 20))
     rows, copies, repeated = parted(rows, copies)
-    sent = rows.select("doc_id", "part", "text").mapInArrow(anchors(length, receivers), "receiver int, known boolean, hashes binary, owners binary, docs binary, parts binary")
-    met = sent.repartition(receivers // 4, "receiver").sortWithinPartitions("receiver").mapInArrow(shared, "doc_id long, part int, anchor long, common boolean")
+    sent = rows.select("doc_id", "part", "text").mapInArrow(tidied(anchors(length, receivers)), "receiver int, known boolean, hashes binary, owners binary, docs binary, parts binary")
+    met = sent.repartition(receivers // 4, "receiver").sortWithinPartitions("receiver").mapInArrow(tidied(shared), "doc_id long, part int, anchor long, common boolean")
     if repeated:
         met = stored(met, "span-shared")
         met = met.where("part = 0").unionAll(met.where("part > 0").distinct())
     by_doc = met.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "common")).alias("anchors"))
     copied = copies.groupBy("doc_id", "part").agg(F.collect_set("row").alias("copied"))
     with_text = rows.join(by_doc.join(copied, ["doc_id", "part"], "left"), ["doc_id", "part"]).where(~F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False)))
-    cut = with_text.select("doc_id", "row", "text", "anchors").mapInArrow(snippets(length), "anchor long, common boolean, snippet binary, doc_id long, row long, start long")
+    cut = with_text.select("doc_id", "row", "text", "anchors").mapInArrow(tidied(snippets(length)), "anchor long, common boolean, snippet binary, doc_id long, row long, start long")
     cut = stored(cut, "span-snippets", "zstd")
     plain = cut.where("not common").drop("common").repartition("anchor").sortWithinPartitions("anchor")
     folded = folded_common(cut.where("common"), length)
     lacking = {c: F.lit(None).cast(t) for c, t in plain.dtypes if c != "snippet"}
     both = plain.withColumn("folded", F.lit(None).cast("string")).unionByName(folded.withColumns(lacking))
-    return both.mapInArrow(decider(length), "doc_id long, row long, start long, mask long")
+    return both.mapInArrow(tidied(decider(length)), "doc_id long, row long, start long, mask long")
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -510,4 +510,4 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     found = stored(masks(docs, copies, length), "span-masks").unionAll(copies.selectExpr("doc_id", "row", "-1L as start", "0L as mask"))
     marks = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     joined = keyed(docs).join(marks, ["doc_id", "row"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "marks")
-    return joined.mapInArrow(run, CUT)
+    return joined.mapInArrow(tidied(run), CUT)
